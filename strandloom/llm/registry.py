@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this subpackage that define QUERIES and ORACLE_SQL.
-MODULES = ("quality_gam", "simhash_dedup")
+MODULES = ("quality_gam", "decontaminate", "simhash_dedup")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
