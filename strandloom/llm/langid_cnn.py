@@ -74,15 +74,15 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, rate: float = 0.01, batch: int = 64, seed: int = 11) -> Network:
-    """Adam on windows ``x`` (n, WINDOW) with indices ``y`` of ``languages``."""
+def fit(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, least_steps: int = 400, rate: float = 0.01, batch: int = 64, seed: int = 11) -> Network:
+    """Adam on windows ``x`` (n, WINDOW) with indices ``y`` of ``languages``; few windows get more epochs, up to ``least_steps``."""
     rng = np.random.default_rng(seed)
     tables = [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS]
     biases = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     net = Network(languages, tables, biases, rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(languages))), np.zeros(len(languages)))
     params = [*tables, *biases, net.weights, net.offset]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps // max(1, -(-len(x) // batch))))):
         order = rng.permutation(len(x))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
