@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this subpackage that define QUERIES and ORACLE_SQL.
-MODULES = ("quality_gam", "decontaminate", "token_rans", "mix_cube", "simhash_dedup", "toxicity_fm", "html_lineblock", "secret_scan", "langid_cnn")
+MODULES = ("quality_gam", "decontaminate", "token_rans", "mix_cube", "simhash_dedup", "toxicity_fm", "html_lineblock", "secret_scan", "langid_cnn", "topk_histogram")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
