@@ -345,12 +345,12 @@ def impl_methods(ix):
 
 @register(
     """SELECT o.iface_fqname FROM (SELECT DISTINCT iface_fqname FROM implements WHERE ends_with(impl_fqname, 't.Type1')) o
-    WHERE EXISTS (SELECT 1 FROM iface_methods m WHERE m.iface_fqname = o.iface_fqname AND m.method_name = 'Brand#13') OR NOT EXISTS (SELECT 1 FROM iface_methods m WHERE m.iface_fqname = o.iface_fqname)
+    WHERE EXISTS (SELECT 1 FROM iface_methods m WHERE m.iface_fqname = o.iface_fqname AND m.method_name = 'Brand#14') OR NOT EXISTS (SELECT 1 FROM iface_methods m WHERE m.iface_fqname = o.iface_fqname)
     ORDER BY 1 LIMIT 5""",
     "implements",
 )
 def iface_hint_fail_open(ix):
-    return lookup.dispatching_interfaces(ix, "ex.com/t.*Type1.Brand#13")
+    return lookup.dispatching_interfaces(ix, "ex.com/t.*Type1.Brand#14")
 
 
 REF = "from_fqname, to_fqname, ref_kind, file_path, line, col, expr, package_path"
@@ -361,9 +361,9 @@ def references_all(ix):
     return graph.references(ix, ref_seed(ix))
 
 
-@register(f"SELECT {REF} FROM type_refs WHERE to_fqname IN (SELECT node FROM ref_seed) AND ref_kind = 'type_switch' AND starts_with(package_path, 'ex.com/m') AND contains(from_fqname, 'e')", "ref_seed")
+@register(f"SELECT {REF} FROM type_refs WHERE to_fqname IN (SELECT node FROM ref_seed) AND ref_kind = 'conversion' AND starts_with(package_path, 'ex.com/m') AND contains(from_fqname, 'e')", "ref_seed")
 def references_by_kind(ix):
-    return graph.references(ix, ref_seed(ix), ref_kind="type_switch", pkg="ex.com/m", origin="e")
+    return graph.references(ix, ref_seed(ix), ref_kind="conversion", pkg="ex.com/m", origin="e")
 
 
 @register("SELECT count(*) AS n FROM type_refs WHERE to_fqname IN (SELECT node FROM ref_seed)", "ref_seed")

@@ -31,11 +31,13 @@ class Index:
     index_meta: DataFrame
 
 
+_DEFAULTS = {T.StringType(): "", T.IntegerType(): 0, T.LongType(): 0, T.BooleanType(): False}
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """The table's columns and types; a column that is missing, as in an older layout, gets its default."""
-    zero = {T.StringType(): F.lit(""), T.IntegerType(): F.lit(0), T.LongType(): F.lit(0), T.BooleanType(): F.lit(False)}
     have = set(df.columns)
-    return df.select(*((F.col(f.name) if f.name in have else zero.get(f.dataType, F.lit(None))).cast(f.dataType).alias(f.name) for f in S.SCHEMAS[table].fields))
+    return df.select(*((F.col(f.name) if f.name in have else F.lit(_DEFAULTS.get(f.dataType))).cast(f.dataType).alias(f.name) for f in S.SCHEMAS[table].fields))
 
 
 def last_wins(df: DataFrame, keys: Iterable[str], order: str) -> DataFrame:
@@ -78,7 +80,9 @@ class Catalog:
         """An absent table is empty."""
         if not self.exists(table):
             return self.spark.createDataFrame([], S.SCHEMAS[table])
-        return conform(self.spark.read.option("mergeSchema", "true").parquet(self.location(table)), table)
+        df = self.spark.read.schema(S.SCHEMAS[table]).parquet(self.location(table))
+        # Columns that files of an older layout lack are read as null.
+        return df.select(*(F.coalesce(c, F.lit(_DEFAULTS[f.dataType])).alias(f.name) if f.dataType in _DEFAULTS and f.name not in S.KEYS.get(table, ()) else c for f in S.SCHEMAS[table] for c in [F.col(f.name)]))
 
     def index(self) -> Index:
         return Index(**{name: self.read(name) for name in Index.__dataclass_fields__})
