@@ -56,14 +56,16 @@ def callers(index: Index, symbol: str | DataFrame, depth: int = 1, limit: int =
     front = _targets(index, symbol)
     if fuzzy and isinstance(symbol, str) and index.calls.where(F.col("to_fqname") == symbol).isEmpty():
         front = front.unionByName(fuzzy_targets(index, symbol).toDF("node"))
+    if clamp(depth) > 1:
+        front = scratch.keep("seed", front)
     visited, found = front, None
     for d in range(1, clamp(depth) + 1):
         hop = scratch.keep(f"hop{d}", direct_callers(index, front, pkg, limit).withColumn("depth", F.lit(d)))
         found = hop if found is None else found.unionByName(hop)
         if d == clamp(depth):
             break
-        front = scratch.keep(f"front{d}", hop.select(F.col("from_fqname").alias("node")).distinct().join(visited, "node", "left_anti"))
-        if front.isEmpty():
+        front, n = scratch.keep_counted(f"front{d}", hop.select(F.col("from_fqname").alias("node")).distinct().join(visited, "node", "left_anti"))
+        if not n:
             break
         visited = visited.unionByName(front)
     found = found.withColumn("name", N.short_name("from_fqname"))
@@ -86,9 +88,9 @@ def reverse_closure(index: Index, symbol: str | DataFrame, depth: int = 3, pkg:
         step = _into(index, front, pkg, exclude_tests).select(F.col("from_fqname").alias("node")).distinct()
         if reached is not None:
             step = step.join(reached.select("node"), "node", "left_anti")
-        front = scratch.keep(f"hop{d}", step.withColumn("depth", F.lit(d)))
+        front, n = scratch.keep_counted(f"hop{d}", step.withColumn("depth", F.lit(d)))
         reached = front if reached is None else reached.unionByName(front)
-        if d < clamp(depth) and front.isEmpty():
+        if not n:
             break
         front = front.select("node")
     return reached.select(F.col("node").alias("caller"), "depth")

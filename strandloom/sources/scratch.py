@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -28,3 +29,8 @@ class Scratch:
         """Writes a table and reads it back."""
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def keep_counted(self, name: str, df: DataFrame) -> tuple[DataFrame, int]:
+        """The same, and how many rows were written; the count needs no job of its own."""
+        seen = Observation()
+        return self.keep(name, df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
