@@ -82,14 +82,27 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+class _Stored:
+    """An index whose tables are written when they are first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._scratch, self._frames = Scratch(spark, "index"), derive(spark, sf_dir)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in Index.__dataclass_fields__:
+            raise AttributeError(name)
+        kept = self._scratch.keep(name, conform(self._frames[name], name))
+        setattr(self, name, kept)
+        return kept
+
+
 @lru_cache(maxsize=32)
-def _stored(application: str, spark: SparkSession, sf_dir: str) -> Index:
-    scratch = Scratch(spark, "index")
-    return Index(**{name: scratch.keep(name, conform(df, name)) for name, df in derive(spark, sf_dir).items()})
+def _stored(application: str, spark: SparkSession, sf_dir: str) -> _Stored:
+    return _Stored(spark, sf_dir)
 
 
 def open_index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of the tables in a folder: built once in a session, as an index is, then read."""
+    """The index of the tables in a folder: each table is built once in a session, as an index is, then read."""
     return _stored(spark.sparkContext.applicationId, spark, sf_dir)
 
 
