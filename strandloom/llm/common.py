@@ -89,6 +89,21 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> Data
     )
 
 
+#: Ids, of 8 bytes each and some 50 in a join's table, that are broadcast; more of them meet the rows by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (``left_semi``) or isn't (``left_anti``) in the written table ``ids``.
+
+    The ids are counted first. A list that fits in memory is sent to the rows, so that no
+    text is shuffled; a longer one is joined by shuffling both. The rows are the same.
+    """
+    (name,) = ids.columns
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return docs.join(side, docs["doc_id"] == F.col(name), how)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces of a few rows, so that one piece's Python objects stay small."""
     for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import TOKEN, Scratch, slices, table, words
+from strandloom.llm.common import TOKEN, Scratch, by_ids, slices, table, words
 
 WINDOW, SLOP, CHANCE = 8, 4, 1e-3
 #: Tokens after which a segment is closed; a longer document has a segment of its own.
@@ -300,7 +300,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     Rows without doc_id or text stay. Rows that share a doc_id go together.
     """
     hit = Scratch(docs.sparkSession, "leaks").keep("ids", matches(docs, items, **options).select(F.col("doc_id").alias("__hit")).distinct())
-    return docs.join(hit, docs["doc_id"] == F.col("__hit"), "left_anti")
+    return by_ids(docs, hit, "left_anti")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch, table
+from strandloom.llm.common import Scratch, by_ids, table
 
 SHARE, TEMPERATURE, SEED = 0.5, 0.5, 20_240
 PART_DOCS = 50_000
@@ -160,7 +160,7 @@ def sample(docs: DataFrame, weights: Mapping[str | None, float] | None = None, s
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is sampled, with the columns of ``docs``."""
     chosen = Scratch(docs.sparkSession, "mixed").keep("ids", sample(docs, **options).select(F.col("doc_id").alias("__chosen")))
-    return docs.join(chosen, docs["doc_id"] == F.col("__chosen"), "left_semi")
+    return by_ids(docs, chosen, "left_semi")
 
 
 def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

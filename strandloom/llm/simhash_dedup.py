@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch, slices, table, words
+from strandloom.llm.common import Scratch, by_ids, slices, table, words
 from strandloom.llm.components import components
 
 BITS, TAU, SEGMENTS = 128, 16, 6
@@ -255,12 +255,12 @@ def deduplicate(docs: DataFrame, tau: int = TAU, segments: int = SEGMENTS) -> Da
     scratch = Scratch(docs.sparkSession, "dedup")
     found = scratch.keep("groups", near_duplicates(docs, tau, segments))
     gone = found.where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    left = by_ids(docs, gone, "left_anti")
     repeated = scratch.keep("repeated", docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again"))
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, left["doc_id"] == F.col("__again"), "left_anti")
-    many = left.join(repeated, left["doc_id"] == F.col("__again"), "left_semi")
+    once = by_ids(left, repeated, "left_anti")
+    many = by_ids(left, repeated, "left_semi")
     return once.unionByName(many.distinct())
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from strandloom.llm import mix_cube as M
+from strandloom.llm import common
 from strandloom.llm.common import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,3 +61,10 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert M.sample(docs).collect() == [] and M.mix(docs).collect() == []
+
+
+def test_long_id_lists_are_joined_alike(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    few = sorted(r.doc_id for r in M.mix(docs).collect())
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    assert sorted(r.doc_id for r in M.mix(docs).collect()) == few
