@@ -30,7 +30,7 @@ NOT_SCORED = -2 * UNIT
 PACK = 4096
 
 PACKS = "pack long, ids binary, width int, vectors binary"
-STATE = "query_pack long, low binary, span binary, above binary, open long"
+STATE = "query_pack long, low binary, reach binary, span binary, above binary, open long"
 FOUND = "vec_id long, neighbor_id long, units long"
 
 
@@ -90,16 +90,16 @@ def _count(bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
-            low, span = (np.frombuffer(row[k], np.int64) for k in ("low", "span"))
+            low, reach, span = (np.frombuffer(row[k], np.int64) for k in ("low", "reach", "span"))
             counts = np.zeros((len(low), bins), np.int32)
             for at, _, units in _scores(row):
-                a, s = low[at : at + len(units), None], span[at : at + len(units), None]
+                a, r, s = (x[at : at + len(units), None] for x in (low, reach, span))
                 part = (units - a) // np.maximum(s, 1)
-                # Scores above the range are counted once, before; closed ranges have no width.
-                inside = (part >= 0) & (part < bins) & (s > 0)
+                # Scores above the range were counted before, and the last parts may reach past its end; closed ranges have no width.
+                inside = (part >= 0) & (units - a < r) & (s > 0)
                 key = (part + bins * np.arange(len(units))[:, None])[inside]
                 counts[at : at + len(units)] = np.bincount(key, minlength=bins * len(units)).reshape(-1, bins)
-            yield pa.RecordBatch.from_arrays([pa.array([row["query_pack"]]), pa.array([row["low"]], pa.binary()), pa.array([row["span"]], pa.binary()), pa.array([row["above"]], pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["query_pack", "low", "span", "above", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["query_pack"]]), *(pa.array([row[n]], pa.binary()) for n in ("low", "span", "above")), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["query_pack", "low", "span", "above", "counts"])
 
     return run
 
@@ -108,6 +108,7 @@ def narrowed(low: np.ndarray, span: np.ndarray, above: np.ndarray, counts: np.nd
     """The next (low, span, above) of each query, from the counts in the parts of its range.
 
     A range starts at low and has parts of ``span`` units; above are the scores beyond it.
+    Parts are rounded up, so the counts must leave out scores past the end of the range.
     Span 0 closes a range: the scores from low on are wanted.
     """
     bins = counts.shape[1]
@@ -128,8 +129,9 @@ def _narrow(bins: int, k: int, slack: int):
         rows = group.to_pylist()
         low, span, above = (np.frombuffer(rows[0][n], np.int64) for n in ("low", "span", "above"))
         counts = sum(np.frombuffer(zlib.decompress(r["counts"]), np.int32).astype(np.int64) for r in rows).reshape(-1, bins)
+        reach = span  # The part that becomes the range ends where the next one began.
         low, span, above = narrowed(low, span, above, counts, k, slack)
-        return pa.table([pa.array([rows[0]["query_pack"]]), *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (low, span, above)), pa.array([int((span > 0).sum())])], names=["query_pack", "low", "span", "above", "open"])
+        return pa.table([pa.array([rows[0]["query_pack"]]), *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (low, reach, span, above)), pa.array([int((span > 0).sum())])], names=["query_pack", "low", "reach", "span", "above", "open"])
 
     return run
 
@@ -175,7 +177,7 @@ def top_k(vectors: DataFrame, k: int = K, bins: int = BINS, slack: int = SLACK,
             sizes = [len(x) // 8 for x in batch.column(1).to_pylist()]
             fill = lambda value: pa.array([np.full(n, value, np.int64).tobytes() for n in sizes], pa.binary())
             # Scores begin at -1, give or take a rounding.
-            yield pa.RecordBatch.from_arrays([batch.column(0), fill(-UNIT - 8), fill(-(-(2 * UNIT + 16) // bins)), fill(0), pa.array(sizes, pa.int64())], ["query_pack", "low", "span", "above", "open"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fill(-UNIT - 8), fill(2 * UNIT + 16), fill(-(-(2 * UNIT + 16) // bins)), fill(0), pa.array(sizes, pa.int64())], ["query_pack", "low", "reach", "span", "above", "open"])
 
     state = scratch.keep("state0", packed.select("pack", "ids").mapInArrow(begin, STATE))
     queries = packed.select(F.col("pack").alias("query_pack"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("vectors").alias("q_vectors"))

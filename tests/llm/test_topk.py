@@ -30,6 +30,14 @@ def test_equals_brute_force_and_sql(spark, options):
         assert got == sorted(duckdb.sql(K.ORACLE_SQL["op10_topk_histogram"]).fetchall())
 
 
+def test_dense_groups_keep_all_neighbours(spark):
+    rng = np.random.default_rng(5)
+    groups = [rng.normal(size=32) + noise * rng.normal(size=(300, 32)) for noise in (1e-4, 1e-4, 1e-3)]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([*groups, rng.normal(size=(100, 32))]))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in K.top_k(frame).collect()) == brute(rows, K.K)
+
+
 def test_ties_and_odd_rows(spark):
     rows = [(k, [1.0, 2.0]) for k in range(100)] + [(200 + k, [1.0, float(k)]) for k in range(20)]
     odd = [(None, [1.0, 1.0]), (900, None), (901, [0.0, 0.0]), (902, [1.0, None]), (903, [1.0, float("nan")]), (904, []), (905, [1.0, 1.0, 1.0]), (3, [1.0, 2.0]), (906, [2.0, 2.0, 2.0]), (907, [1e200, 1.0])]
