@@ -1,7 +1,9 @@
 """Near duplicates by SimHash, candidates pruned by pigeonring chains.
 
 A text's fingerprint has 128 bits: each distinct word votes with the square root of
-its count. Two texts are near copies if their fingerprints differ in at most TAU bits.
+its count. Two texts are near copies if their fingerprints differ in at most TAU bits
+and so do, in at most CONTEXT bits, those of their shingles of SHINGLE words: the words
+of long texts converge on their language's frequencies, their shingles don't.
 
 The bits lie on a ring of SEGMENTS segments with differences d_0 .. d_{m-1}. If they
 sum to at most tau, some start s has every chain of l consecutive segments from s
@@ -29,7 +31,10 @@ from strandloom.llm.common import Scratch, by_ids, slices, table, words
 from strandloom.llm.components import components
 
 BITS, TAU, SEGMENTS = 128, 16, 6
-#: Filed entries in one bucket of the search, 17 bytes each.
+#: Words in a shingle, and the bits in which the shingles' fingerprints of near copies may differ.
+SHINGLE, CONTEXT = 3, 42
+PRINT = ["hi", "lo", "shi", "slo"]
+#: Filed entries in one bucket of the search, 33 bytes each.
 BUCKET_ENTRIES = 1_000_000
 
 
@@ -42,21 +47,42 @@ def fingerprint(tokens: list[str]) -> bytes:
     return np.packbits(ones > votes.sum() / 2).tobytes()
 
 
+def context(tokens: list[str]) -> bytes:
+    """16 bytes; each distinct shingle has one vote, however often it stands there. A text of fewer words is one shingle."""
+    of = {w: xxhash.xxh3_64_intdigest(w) for w in set(tokens)}
+    word = np.fromiter((of[w] for w in tokens), np.uint64, len(tokens))
+    size = min(SHINGLE, len(word))
+    n = len(word) - size + 1
+    key = word[:n]
+    for k in range(1, size):
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[k : k + n]
+    key, ones = np.unique(key), np.zeros(BITS, np.int64)
+    for at in range(0, len(key), 8192):
+        halves = []
+        for salt in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
+            x = key[at : at + 8192] ^ np.uint64(salt)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            halves.append(x ^ (x >> np.uint64(31)))
+        ones += np.unpackbits(np.stack(halves, axis=1).view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(key)).tobytes()
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         ids, prints = [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if tokens := words(text):
                 ids.append(i)
-                prints.append(fingerprint(tokens))
-        halves = np.frombuffer(b"".join(prints), ">i8").astype(np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["id", "hi", "lo"])
+                prints.append(fingerprint(tokens) + context(tokens))
+        halves = np.frombuffer(b"".join(prints), ">i8").astype(np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, halves.T.copy())], ["id", *PRINT])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, hi, lo) of each row that has an id and at least one word."""
+    """(id, hi, lo, shi, slo) of each row that has an id and at least one word: the words' halves and the shingles'."""
     named = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return named.mapInArrow(_fingerprint_batches, "id long, hi long, lo long")
+    return named.mapInArrow(_fingerprint_batches, "id long, hi long, lo long, shi long, slo long")
 
 
 class Ring:
@@ -111,12 +137,12 @@ def _mix(keys: np.ndarray) -> np.ndarray:
 
 
 def _file(ring: Ring, buckets: int):
-    """Batches of (hi, lo) into one packed row for each bucket: 16 bytes of fingerprint and the variant."""
+    """Batches of (hi, lo, shi, slo) into one packed row for each bucket: 32 bytes of fingerprints and the variant."""
     count = len(ring.variants)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8192):
-            hi, lo = (batch.column(k).to_numpy() for k in (0, 1))
+            halves = hi, lo, *_ = [batch.column(k).to_numpy() for k in range(4)]
             n = len(hi)
             row = np.repeat(np.arange(n), count)
             variant = np.tile(np.arange(count), n)
@@ -127,7 +153,7 @@ def _file(ring: Ring, buckets: int):
             names, packed = [], []
             for a, b in zip(cuts, [*cuts[1:], len(at)]):
                 names.append(int(at[a]))
-                packed.append(hi[row[a:b]].tobytes() + lo[row[a:b]].tobytes() + variant[a:b].astype(np.uint8).tobytes())
+                packed.append(b"".join(x[row[a:b]].tobytes() for x in halves) + variant[a:b].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
     return run
@@ -159,8 +185,9 @@ class _Forest:
             self.up = up
 
 
-def _edges_of_bucket(ring: Ring, hi: np.ndarray, lo: np.ndarray, variant: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of positions that span the near pairs which meet here."""
+def _edges_of_bucket(ring: Ring, hi: np.ndarray, lo: np.ndarray, variant: np.ndarray, shingles: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of positions that span the near pairs which meet here; without shingles, the words decide alone."""
+    shingles = np.zeros((len(hi), 2), np.int64) if shingles is None else shingles
     values = ring.values(hi, lo)
     keys = ring.keys(values, variant)
     order = np.argsort(keys, kind="stable")
@@ -173,7 +200,8 @@ def _edges_of_bucket(ring: Ring, hi: np.ndarray, lo: np.ndarray, variant: np.nda
     if not len(order):
         return []
     # One node for each fingerprint, however many keys it is filed under here.
-    pairs = np.stack([hi[order], lo[order]], axis=1)
+    pairs, shingles = np.stack([hi[order], lo[order]], axis=1), shingles[order]
+    pairs = np.concatenate([pairs, shingles], axis=1)
     _, first, node = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
     node = node.reshape(-1)
     values, start = values[order], ring.of_segment[variant[order]]
@@ -188,6 +216,7 @@ def _edges_of_bucket(ring: Ring, hi: np.ndarray, lo: np.ndarray, variant: np.nda
         x, y = at[apart], other[apart]
         if len(x):
             kept = ring.near(values[x], values[y], start[x])
+            kept = kept[np.bitwise_count(shingles[x[kept]].view(np.uint64) ^ shingles[y[kept]].view(np.uint64)).sum(1) <= CONTEXT]
             if len(kept):
                 found += [(int(order[first[a]]), int(order[first[b]])) for a, b in forest.join(node[x[kept]], node[y[kept]])]
                 forest.flatten()
@@ -198,16 +227,14 @@ def _edges_of_bucket(ring: Ring, hi: np.ndarray, lo: np.ndarray, variant: np.nda
 
 def _search(ring: Ring):
     def run(group: pa.Table) -> pa.Table:
-        his, los, variants = [], [], []
+        prints, variants = [], []
         for blob in group.column("packed").to_pylist():
-            n = len(blob) // 17
-            his.append(np.frombuffer(blob, np.int64, n, 0))
-            los.append(np.frombuffer(blob, np.int64, n, 8 * n))
-            variants.append(np.frombuffer(blob, np.uint8, n, 16 * n))
-        hi, lo, variant = np.concatenate(his), np.concatenate(los), np.concatenate(variants).astype(np.int64)
-        edges = np.array(_edges_of_bucket(ring, hi, lo, variant), np.int64).reshape(-1, 2)
-        a, b = edges[:, 0], edges[:, 1]
-        return pa.table({"hi_a": hi[a], "lo_a": lo[a], "hi_b": hi[b], "lo_b": lo[b]})
+            n = len(blob) // 33
+            prints.append(np.frombuffer(blob, np.int64, 4 * n).reshape(4, n))
+            variants.append(np.frombuffer(blob, np.uint8, n, 32 * n))
+        halves, variant = np.concatenate(prints, axis=1), np.concatenate(variants).astype(np.int64)
+        edges = np.array(_edges_of_bucket(ring, halves[0], halves[1], variant, np.ascontiguousarray(halves[2:].T)), np.int64).reshape(-1, 2)
+        return pa.table({f"{name}_{side}": half[edges[:, k]] for k, side in enumerate("ab") for name, half in zip(PRINT, halves)})
 
     return run
 
@@ -215,7 +242,8 @@ def _search(ring: Ring):
 def near_duplicates(docs: DataFrame, tau: int = TAU, segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the least doc_id of its group.
 
-    Groups are the connected components of "at most ``tau`` bits apart". A row
+    Groups are the connected components of "at most ``tau`` bits apart, and at most
+    CONTEXT by shingles". A row
     without doc_id, with a null text or with no word is in no group. Rows that
     repeat a doc_id count once in a group. Other columns of ``docs`` are not read.
     An empty table gives no rows. Ties don't arise: ids decide.
@@ -223,15 +251,16 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, segments: int = SEGMENTS) -
     spark = docs.sparkSession
     ring, scratch = Ring(tau, segments), Scratch(spark, "simhash")
     prints = scratch.keep("prints", fingerprints(docs))
-    distinct = scratch.keep("distinct", prints.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    distinct = scratch.keep("distinct", prints.groupBy(PRINT).agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     buckets = max(1, math.ceil(distinct.count() * len(ring.variants) / BUCKET_ENTRIES))
-    filed = distinct.select("hi", "lo").mapInArrow(_file(ring, buckets), "bucket long, packed binary")
-    met = scratch.keep("met", filed.groupBy("bucket").applyInArrow(_search(ring), "hi_a long, lo_a long, hi_b long, lo_b long"))
-    names = distinct.select("hi", "lo", "rep")
+    filed = distinct.select(PRINT).mapInArrow(_file(ring, buckets), "bucket long, packed binary")
+    met = scratch.keep("met", filed.groupBy("bucket").applyInArrow(_search(ring), ", ".join(f"{name}_{side} long" for side in "ab" for name in PRINT)))
+    names = distinct.select(*PRINT, "rep")
+    of = lambda side: [f"{name}_{side}" for name in PRINT]
     edges = (
         met.distinct()
-        .join(names.toDF("hi_a", "lo_a", "u"), ["hi_a", "lo_a"])
-        .join(names.toDF("hi_b", "lo_b", "v"), ["hi_b", "lo_b"])
+        .join(names.toDF(*of("a"), "u"), of("a"))
+        .join(names.toDF(*of("b"), "v"), of("b"))
         .select("u", "v")
     )
     roots = components(scratch, edges)
@@ -240,9 +269,9 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, segments: int = SEGMENTS) -
     grouped = (
         distinct.join(linked, "rep", "left")
         .where("root IS NOT NULL OR n > 1")
-        .select("hi", "lo", F.coalesce("root", "rep").alias("group_id"))
+        .select(*PRINT, F.coalesce("root", "rep").alias("group_id"))
     )
-    return prints.join(grouped, ["hi", "lo"]).select(F.col("id").alias("doc_id"), "group_id").distinct()
+    return prints.join(grouped, PRINT).select(F.col("id").alias("doc_id"), "group_id").distinct()
 
 
 def deduplicate(docs: DataFrame, tau: int = TAU, segments: int = SEGMENTS) -> DataFrame:

@@ -87,6 +87,18 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "None", "7", "8", "9"])
 
 
+def test_long_unrelated_texts_are_not_linked(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(900)], [1 / (k + 3) for k in range(900)], k=120_000)) for _ in range(4)]
+    near = texts[0].split()
+    for k in rng.sample(range(len(near)), 3_000):
+        near[k] = f"w{rng.randrange(900)}"
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate([*texts, " ".join(near)], 1)], SCHEMA)
+    prints = [np.unpackbits(np.frombuffer(S.fingerprint(words(t)), np.uint8)) for t in texts]
+    assert max((x != y).sum() for x in prints for y in prints) <= S.TAU
+    assert {tuple(r) for r in S.near_duplicates(docs).collect()} == {(1, 1), (5, 1)}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert S.near_duplicates(docs).collect() == [] and S.deduplicate(docs).collect() == []
