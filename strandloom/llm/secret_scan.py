@@ -32,6 +32,12 @@ _NAME = re.compile(r"[A-Za-z_][\w.]*(?![\w.(\[])")
 _BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>|&]+")
 _INSIDE = re.compile(r"\$\{(\w+)\}|\{\{\s*(\w+)\s*\}\}|\$(\w+)|\{(\w+)\}|%\((\w+)\)s")
 _BLANK = re.compile(r"[ \t]*")
+#: A literal in parentheses or on the next line.
+_OPEN = re.compile(r"[ \t]*(?:\(\s*|\\?\r?\n\s*(?:\(\s*)?)(?=[rRbBuUfF@$]{0,2}[\"'`])")
+_NEXT = re.compile(r"\s+(?=[\"'])")
+_BLOCK = re.compile(r"[|>][-+\d]{0,2}[ \t]*\r?\n")
+_SCHEME = re.compile(r"(?i)\s*(?:bearer|basic)\s+(\S+)\s*$")
+_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(.*?)(?:-----END|$)", re.S)
 _PLUS = re.compile(r"\s*(?:\+|\.(?=\s*[\"'$])|\|\|)\s*|[ \t]+(?=[\"'])|[ \t]*\\\r?\n[ \t]*(?=[\"'])")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _ESCAPE = re.compile(r"\\(.)", re.S)
@@ -67,6 +73,11 @@ def randomness(literal: str) -> float:
 def score(name: str, literal: str) -> tuple[str, float]:
     """Kind, and score from 0 to 1, of a literal that the name gets."""
     kind, weight = kind_of(name)
+    # What follows a scheme, and the body of a PEM block, count alone.
+    if m := _SCHEME.match(literal):
+        literal = m[1]
+    elif m := _PEM.search(literal):
+        literal = re.sub(r"\s", "", m[1])
     if not weight or len(literal) < 6 or _PLACEHOLDER.match(literal):
         return kind, 0.0
     value = randomness(literal)
@@ -111,16 +122,43 @@ def _operand(text: str, at: int, known: dict[str, str]) -> tuple[str | None, int
     return None, at
 
 
+def _begin(text: str, at: int) -> int:
+    return (_OPEN.match(text, at) or _BLANK.match(text, at)).end()
+
+
+def _block(text: str, at: int) -> tuple[str, int]:
+    """The lines from ``at`` on that are indented deeper than the line before, and where they end."""
+    line = text.rfind("\n", 0, text.rfind("\n", 0, at)) + 1
+    depth = len(text[line:at]) - len(text[line:at].lstrip(" "))
+    lines = []
+    while at < len(text):
+        end = text.find("\n", at) + 1 or len(text)
+        row = text[at:end]
+        if row.strip() and len(row) - len(row.lstrip(" ")) <= depth:
+            break
+        lines.append(row.strip())
+        at = end
+    return "\n".join(lines).strip(), at
+
+
 def _value(text: str, at: int, known: dict[str, str]) -> tuple[str | None, int]:
     """Value of the expression at a place, and where it ends."""
-    at = _BLANK.match(text, at).end()
+    before, at = at, _begin(text, at)
+    if m := _BLOCK.match(text, at):
+        return _block(text, m.end())
     value, end = _operand(text, at, known)
+    opened = text[before:at].strip(" \t")
+    # On the next line a name may begin, as in ``key:`` above ``"name": ...``.
+    if opened and value is not None and re.compile(r"\s*(?::|=)").match(text, end):
+        return None, at
     if value is None:
         m = _BARE.match(text, at)
         if not m or text[m.end() : m.end() + 1] in ("(", "["):
             return None, at
+        if m[0].lower() in ("bearer", "basic") and (more := _BARE.match(text, _BLANK.match(text, m.end()).end())):
+            return f"{m[0]} {_fill(more[0].rstrip('.,:'), known)}", more.end()
         return _fill(m[0].rstrip(".,:"), known), m.end()
-    while m := _PLUS.match(text, end):
+    while m := _PLUS.match(text, end) or "(" in opened and _NEXT.match(text, end):
         more, after = _operand(text, m.end(), known)
         if more is None:
             break
@@ -150,7 +188,7 @@ def findings(text: str, threshold: float = THRESHOLD) -> list[tuple[int, str, st
         known[name] = value
         kind, found = score(name, value)
         if found >= threshold:
-            start = _BLANK.match(text, b).end()
+            start = _begin(text, b)
             out.append((start, name, kind, len(value), round(found, 6), hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()[:16]))
     return out
 

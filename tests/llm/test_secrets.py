@@ -29,6 +29,22 @@ def test_others(text):
     assert S.findings(text) == []
 
 
+PEM = f"-----BEGIN RSA PRIVATE KEY-----\\n{HEX}\\n{HEX[::-1]}\\n-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize("text", [
+    f'private_key = "{PEM}"', f'"Authorization": "Bearer {HEX}"', f"Authorization: Bearer {HEX}", f"authorization: Basic {HEX}", f'token = (\n    "{HEX[:20]}"\n    "{HEX[20:]}"\n)', f'token = ("{HEX}")',
+    f'token =\n    "{HEX}"', f'token:\n  "{HEX}"\nn: 3', "a:\n  private_key: |\n    " + PEM.replace("\\n", "\n    ") + "\n  n: 3",
+])
+def test_schemes_blocks_and_later_lines(text):
+    assert len(S.findings(text)) == 1
+
+
+@pytest.mark.parametrize("text", ["Authorization: Bearer of the news", f'secret:\n  "{HEX}": 3', "secret: |\n  a long story about nothing\nn: 3"])
+def test_others_on_later_lines(text):
+    assert S.findings(text) == []
+
+
 def test_constants_are_propagated():
     a, b = HEX[:20], HEX[20:]
     (whole,) = S.findings(f'token = "{HEX}"')
