@@ -25,9 +25,11 @@ def test_equals_brute_force_and_sql(spark, options):
     got = sorted(tuple(r) for r in K.top_k(table(spark, d, "embeddings"), **options).collect())
     rows = [(r.vec_id, r.embedding) for r in table(spark, d, "embeddings").collect()]
     assert got == brute(rows, options.get("k", K.K))
+    few = sorted(tuple(r) for r in K.top_k(table(spark, d, "embeddings"), table(spark, d, "embeddings").where(K.ASKED), **options).collect())
+    assert few and few == [r for r in got if r[0] % 100 == 0]
     if not options:
         embeddings = duckdb.read_parquet(f"{d}/embeddings.parquet")  # noqa: F841
-        assert got == sorted(duckdb.sql(K.ORACLE_SQL["op10_topk_histogram"]).fetchall())
+        assert few == sorted(duckdb.sql(K.ORACLE_SQL["op10_topk_histogram"]).fetchall())
 
 
 def test_dense_groups_keep_all_neighbours(spark):
@@ -45,6 +47,9 @@ def test_ties_and_odd_rows(spark):
     for pack in (16, K.PACK):
         got = sorted(tuple(r) for r in K.top_k(frame, k=5, pack=pack).collect())
         assert got == sorted(brute(rows, 5) + [(905, 1, 906, 1.0), (906, 1, 905, 1.0)])
+    other = spark.createDataFrame([(5, [2.0, 1.0]), (5000, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {(r.vec_id, r["rank"], r.neighbor_id) for r in K.top_k(frame, other, k=2, pack=16).collect()} == {(q, n, i) for q in (5, 5000) for n, i in ((1, 201), (2, 200))}
+    assert K.top_k(frame.limit(0), other).collect() == [] == K.top_k(frame, other.limit(0)).collect()
     assert K.top_k(frame.limit(0)).collect() == [] and K.top_k(frame.where("vec_id = 5")).collect() == []
 
 
@@ -60,3 +65,8 @@ def test_narrowing_finds_each_kth():
     kth = np.sort(scores, axis=1)[:, -10]
     kept = (scores >= low[:, None]).sum(1)
     assert not span.any() and (low <= kth).all() and ((kept <= 13) | (low == kth)).all()
+
+
+def test_a_task_keeps_the_parts_that_may_hold_the_kth():
+    counts = np.array([[5, 4, 0, 2, 1], [0, 0, 0, 0, 3], [1, 1, 0, 0, 0]])
+    assert K._relevant(counts, np.array([3, 2, 9])).tolist() == [[0, 0, 0, 2, 1], [0, 0, 0, 0, 3], [1, 1, 0, 0, 0]]
