@@ -24,26 +24,72 @@ from strandloom.llm.common import slices, table
 BLOCK, SURGE = 3, 86
 
 _SECTION = "address|article|aside|blockquote|body|center|details|dialog|div|dl|fieldset|figure|footer|form|frameset|head|header|hgroup|hr|html|iframe|main|menu|nav|noscript|ol|section|table|tbody|tfoot|thead|title|ul"
-_LINE = "br|caption|dd|dt|figcaption|h[1-6]|legend|li|option|p|pre|summary|td|th|tr"
-#: Content that isn't text. What is opened and not closed runs to the end.
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.I | re.S)
-_TAG = re.compile(rf"""<(/?)(?:({_SECTION})|({_LINE})|[a-z][^\s/>]*)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>""", re.I)
+_LINE = "br|caption|dd|dt|figcaption|h1|h2|h3|h4|h5|h6|legend|li|option|p|pre|summary|td|th|tr"
+_GAPS = dict.fromkeys(_SECTION.split("|"), "\n" * (BLOCK + 1)) | dict.fromkeys(_LINE.split("|"), "\v")
+#: Elements whose content isn't text, with the end tag that closes them.
+_UNSEEN = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "template", "svg", "textarea")}
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+#: Attributes up to the tag's end. A quote opens a value only right after "=", elsewhere it is a character like any
+#: other. Groups give nothing back, so that a place is read a few times at most.
+_ATTRIBUTES = re.compile(r"""(?>[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+)*+""")
 _SPACE = re.compile(r"\s+")
 
 
-def _gap(tag: re.Match) -> str:
-    if tag[2]:
-        return "\n" * (BLOCK + 1)
-    return "\v" if tag[3] else ""
+def _parts(page: str) -> Iterator[str]:
+    """Text between the markup, as a reader sees it, and what tags leave in its place.
+
+    The page is read once from left to right. A tag, comment or unseen element that
+    isn't closed runs to the end of the page, as it does in a browser.
+    """
+    at = 0
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            yield _text(page[at:])
+            return
+        after = page[start + 1 : start + 2]
+        tag = _NAME.match(page, start + 1)
+        if not tag and after not in ("!", "?", "/") or after == "/" and not tag and start + 2 >= len(page):
+            # Not markup, but a sign like any other.
+            yield _text(page[at : start + 1])
+            at = start + 1
+            continue
+        if at < start:
+            yield _text(page[at:start])
+        if not tag:
+            close = "-->" if page.startswith("<!--", start) else ">"
+            # "<!-->" and "<!--->" are whole comments.
+            end = page.find(close, start + 2)
+            yield " "
+        else:
+            close, end = ">", _ATTRIBUTES.match(page, tag.end()).end()
+            end = end if end < len(page) else -1
+        if end < 0:
+            return
+        at = end + len(close)
+        if tag:
+            name = tag[1].lower()
+            yield _GAPS.get(name, "")
+            if name in _UNSEEN and after != "/":
+                yield " "
+                if name == "svg" and page[end - 1] == "/":
+                    continue
+                closing = _UNSEEN[name].search(page, at)
+                if not closing:
+                    return
+                at = closing.start()
+
+
+def _text(part: str) -> str:
+    """White space, that of entities too, is a space to a reader."""
+    return _SPACE.sub(" ", html.unescape(part))
 
 
 def lines(page: str) -> list[str]:
     """Text lines of a page without markup, white space collapsed; blank ones only where sections meet."""
-    # White space of the source, line ends too, is a space to a reader.
-    text = html.unescape(_TAG.sub(_gap, _SPACE.sub(" ", _UNSEEN.sub(" ", page))))
     out: list[str] = []
-    for part in text.split("\n"):
-        out += [y for x in part.split("\v") if (y := x.strip())] or [""]
+    for part in "".join(_parts(page)).split("\n"):
+        out += [" ".join(y) for x in part.split("\v") if (y := x.split())] or [""]
     return out
 
 
@@ -73,8 +119,10 @@ def main_text(pages: DataFrame, block: int = BLOCK, surge: int = SURGE) -> DataF
     """(page_id, text) of every row of ``pages``.
 
     A null page has a null text, and an empty one, or one without a long block, an empty
-    text. Rows are read one by one: repeated rows and null ids stay as they are. Other
-    columns are not read. An empty table gives no rows.
+    text. Pages are read whole and once, however long and broken. Rows are read one by
+    one: repeated rows and null ids stay as they are. A block exactly as long as
+    ``surge`` doesn't surge. Other columns, whatever their names, are not read. An empty
+    table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,12 @@
+import time
 from html.parser import HTMLParser
 
+import pytest
+
 from strandloom.llm import html_lineblock as H
 from strandloom.llm.common import table
 
-SECTIONS, LINES = set(H._SECTION.split("|")), {*H._LINE.split("|"), *(f"h{k}" for k in range(1, 7))}
+SECTIONS, LINES = set(H._SECTION.split("|")), set(H._LINE.split("|"))
 
 
 class Reader(HTMLParser):
@@ -73,6 +76,27 @@ def test_extracts_the_article():
     assert H.extract(page).split("\n") == ["Title & more", ("A long paragraph of the story goes on. " * 5).strip(), "Short."]
 
 
+def shown(page):
+    return [x for x in H.lines(page) if x]
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p title=it's>it</p><p>don't</p>", ["it", "don't"]), ('<a href="x>y" b=\'>\'>in</a> out', ["in out"]), ("<a b = 'x>' c>in", ["in"]), ('<a "b>in', ["in"]), ("1 < 2 <3 </ <> a", ["1 < 2 <3 a"]), ("a &lt;b&gt;&#10;&nbsp;c", ["a <b> c"]),
+    ("a<script>if (x < y) '</p>'</script >b", ["a b"]), ("a<STYLE x='</style>'>p</sTyLe>b<scripts>c", ["a bc"]), ("a<svg/>b<svg><text>no</text></svg>c", ["a b c"]), ("a<!-- > -->b<!doctype x>c<?php d ?>e<!-->f", ["a b c e f"]),
+    ("a<textarea>no", ["a"]), ("a<!-- no", ["a"]), ("a<p title='no", ["a"]), ("a<br/>b<BR>c", ["a", "b", "c"]), ("tail <", ["tail <"]), ("tail </", ["tail </"]),
+])
+def test_broken_markup(page, want):
+    assert shown(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<script ", '<a b="', "<!", "<?", "<!-- ", "</", "<", "< ", "<a =", "<a b", "<style>", "</script", "&", "&#", "<p>", "a<b/>", "=\"'", "<svg/><svg>"])
+def test_time_is_in_proportion_to_the_page(piece):
+    began = time.perf_counter()
+    H.extract(piece * (1_000_000 // len(piece)))
+    H.extract("<p>" + "words " * 40 + piece * (1_000_000 // len(piece)) + ">" * 9)
+    assert time.perf_counter() - began < 20
+
+
 def test_odd_rows(spark):
     long = "<p>" + "word " * 300_000
     rows = [(1, None), (2, ""), (None, long), (3, "<div " + "<" * 50_000), (4, "plain text only"), (4, "plain text only"), (5, "<!-- " + "open " * 90), (6, "x" * 100)]
