@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ from strandloom.llm.common import Scratch, slices, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: A run of this many characters of one class, as the pattern's pieces are, is cut off where it fills an aligned stretch of a text.
+STRETCH = 4096
+_ONE_CLASS = regex.compile(rf"\p{{L}}{{{STRETCH}}}|\p{{N}}{{{STRETCH}}}|\s{{{STRETCH}}}|[^\s\p{{L}}\p{{N}}]{{{STRETCH}}}")
+
 #: Frequencies sum to 2 ** PRECISION; states lie in [2 ** 31, 2 ** 63).
 PRECISION = 20
 LANES, STRIDE, BLOCK_TOKENS = 1024, 256, 1_000_000
@@ -47,6 +52,29 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces that are encoded by themselves; mostly it is one.
+
+    The vocabulary's pattern and merges take time and stack that grow faster than a run of
+    letters or blanks. Aligned stretches of STRETCH characters that are of one class
+    throughout become pieces, so that runs are shorter than two stretches. A text
+    without such a run keeps the ids that it has uncut.
+    """
+    begun = 0
+    for at in range(0, len(text) - STRETCH + 1, STRETCH):
+        if _ONE_CLASS.match(text, at):
+            if begun < at:
+                yield text[begun:at]
+            yield text[at : at + STRETCH]
+            begun = at + STRETCH
+    if begun < len(text) or not text:
+        yield text[begun:]
+
+
+def token_ids(encoder: tiktoken.Encoding, text: str) -> np.ndarray:
+    return np.array([t for piece in pieces(text) for t in encoder.encode_ordinary(piece)], "<u4")
+
+
 @dataclass(frozen=True)
 class FrequencyTable:
     symbols: np.ndarray
@@ -61,6 +89,7 @@ class FrequencyTable:
         symbols, counts = symbols[order].astype(np.uint32), counts[order].astype(np.float64)
         whole = 1 << PRECISION
         freqs = np.maximum(1, np.floor(counts / counts.sum() * whole)).astype(np.int64)
+        # Of equal ones the least symbol gives way first.
         largest = np.argsort(-freqs, kind="stable")
         while (excess := int(freqs.sum()) - whole) != 0:
             for k in largest:
@@ -161,9 +190,9 @@ class Coder:
 
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encoder = encoding(path)
         for batch in slices(batches):
-            ids = [None if text is None else np.array(encode(text), "<u4") for text in batch.column(1).to_pylist()]
+            ids = [None if text is None else token_ids(encoder, text) for text in batch.column(1).to_pylist()]
             # Two bytes hold all ids of the usual vocabularies.
             packed = [None if x is None else (b"\x02" + x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else b"\x04" + x.tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
@@ -234,10 +263,12 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, block_tokens
     Columns: block, doc_ids and lengths (in tokens, -1 for a null text) of the
     documents in order, n_tokens, n_lanes, payload (word stream), checkpoints, checksum
     (CRC-32 of both). Documents are never cut: one longer than ``block_tokens`` fills a
-    block. Empty texts have length 0, null ids and repeated rows are kept as they are;
-    other columns are not stored. An empty table gives only an empty frequency table.
-    Every executor reads the vocabulary file at the path ``vocabulary``. At most one row
-    for each token of the vocabulary goes to the driver.
+    block. Runs of one kind of character longer than STRETCH are tokenised in
+    :func:`pieces`. Empty texts have length 0, null ids and repeated rows are kept as they
+    are; other columns, whatever their names, are not stored. An empty table gives only an
+    empty frequency table. Tokens that are equally frequent are ordered by id. Every
+    executor reads the vocabulary file at the path ``vocabulary``. At most one row for each
+    token of the vocabulary goes to the driver.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
