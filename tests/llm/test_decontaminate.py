@@ -1,6 +1,4 @@
-import math
 import random
-from collections import Counter
 
 from strandloom.llm import decontaminate as D
 from strandloom.llm.common import table, words
@@ -8,12 +6,11 @@ from strandloom.llm.common import table, words
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def brute(docs, items, window=D.WINDOW, slop=D.SLOP, chance=D.CHANCE):
+def brute(docs, items, window=D.WINDOW, slop=D.SLOP):
     """Every window of every item against every place of every document."""
-    counts = Counter(w for i, t in docs if i is not None and t is not None for w in words(t))
     docs = [(i, words(t)) for i, t in set(docs) if i is not None and t is not None]
     items = [(i, words(t)) for i, t in set(items) if i is not None and t is not None]
-    total, span = sum(counts.values()), window + slop
+    span = window + slop
     out = set()
     for item, test in items:
         n = min(window, len(test))
@@ -36,8 +33,7 @@ def brute(docs, items, window=D.WINDOW, slop=D.SLOP, chance=D.CHANCE):
                 own = set(part)
                 if not own <= have:
                     continue
-                expected = math.log(total) + sum(min(0, math.log(max(counts[w], 1) * span / total)) for w in own)
-                if k in exact or n < window or len(own) < 2 or expected >= math.log(chance):
+                if k in exact or n < window or len(own) < 5:
                     continue
                 lefts = [p for p in range(-span + 1, len(ws)) if own <= set(ws[max(0, p) : p + span])]
                 for j, p in enumerate(lefts):
@@ -68,7 +64,7 @@ def fixture():
 
 def test_equals_brute_force(spark):
     docs, items = fixture()
-    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in docs], SCHEMA).selectExpr("*", "1 AS item_id", "'x' AS terms")
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in docs], SCHEMA).selectExpr("*", "1 AS item_id", "'x' AS terms", "2 AS __hit", "map(1, 2) AS ids")
     tests = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "2 AS doc_id")
     want = brute(docs, items)
     assert {k for _, _, k, *_ in want} == {"phrase", "near"}
@@ -88,6 +84,27 @@ def test_driver_documents(spark):
     assert got and got == brute(pairs(docs, "doc_id", "text"), pairs(items, "item_id", "text"))
 
 
+def test_few_places_at_once(spark, monkeypatch):
+    docs, items = fixture()
+    monkeypatch.setattr(D, "AT_ONCE", 7)
+    builder = D._Builder(24)
+    for i, t in docs:
+        if i is not None and t and words(t):
+            builder.add(i, words(t))
+    row = dict(zip(("docs", "starts", "terms", "counts", "postings"), builder.row()))
+    portion = D.Portion.of([(i, t) for i, t in items if i is not None and t is not None], D.WINDOW)
+    got = D.segment_matches(D._open(row, D.pa.array(portion.vocabulary), 24), portion, D.WINDOW + D.SLOP)
+    assert set(got) == brute(docs, items)
+
+
+def test_a_match_depends_on_its_document_alone(spark):
+    docs, items = fixture()
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    (one,) = [x for x in docs if x[0] == 305]
+    alone = D.matches(spark.createDataFrame([one], "doc_id long, text string"), tests).collect()
+    assert alone and set(map(tuple, alone)) == {x for x in brute(docs, items) if x[0] == 305}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([], "item_id long, text string")
