@@ -1,77 +1,37 @@
-"""Shared plumbing of the text operators: scratch tables, labelled samples, tokens."""
+"""Shared plumbing of the text operators: labelled samples, filters by ids, tokens."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word tokens of every operator that reads words: Unicode letters, digits, underscore.
-TOKEN = re.compile(r"\w+")
+from strandloom.sources.scratch import Scratch
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+__all__ = ["TOKEN", "Scratch", "by_ids", "labelled", "least", "slices", "table", "words"]
 
+#: Word tokens of every operator that reads words: Unicode letters, digits, underscore.
+TOKEN = re.compile(r"\w+")
 
 def words(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
-
-    Only where the setting is absent (a local session, as in tests) a temporary
-    folder is made and recorded in the session.
-    """
-    path = spark.conf.get(CHECKPOINT_KEY, None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set(CHECKPOINT_KEY, path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Tables written once into the shared folder, so that a lost executor costs no recomputation.
-
-    ``keep`` writes a frame and reads it back; ``drop`` removes a table that no
-    later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex[:12]}"
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def keep(self, table: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        path = self.path(table)
-        df.write.option("compression", codec).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, table: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(text, y) of at most ``bound`` labelled documents, chosen by the hash of doc_id.
+    """(id, text, y) of at most ``bound`` labelled documents, chosen by the hash of doc_id.
 
     Rows of ``labels`` without an id or a label are left out; an id labelled more
     than once counts with its largest label. An id that several documents carry
-    brings each of their texts. Null texts are left out. ``bound`` also bounds what
-    is broadcast: that many ids and labels.
+    brings each of their texts: :func:`least` bounds the rows again once the texts have
+    become features. Null texts are left out. ``bound`` also bounds what is broadcast:
+    that many ids and labels.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y"))
@@ -89,19 +49,22 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> Data
     )
 
 
-#: Ids, of 8 bytes each and some 50 in a join's table, that are broadcast; more of them meet the rows by a shuffle.
-BROADCAST_IDS = 2_000_000
+def least(rows: DataFrame, bound: int) -> pa.Table:
+    """At most ``bound`` rows (id, x, ...), the first by hash of the id, then by x; sorted by id and x."""
+    return rows.orderBy(F.xxhash64("id"), "id", "x").limit(bound).toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (``left_semi``) or isn't (``left_anti``) in the written table ``ids``.
+    """Rows of ``docs`` whose doc_id is (``left_semi``) or isn't (``left_anti``) in the written table ``ids`` of one column.
 
-    The ids are counted first. A list that fits in memory is sent to the rows, so that no
-    text is shuffled; a longer one is joined by shuffling both. The rows are the same.
+    There is one plan for every size: rows and ids meet by hash of the id, and the ids
+    of a task are its hash table. Texts move once and are neither sorted nor held. Rows
+    without doc_id match nothing and are spread by their text, so that however many they
+    are they don't gather in a task. Names of further columns of ``docs`` play no part.
     """
     (name,) = ids.columns
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-    return docs.join(side, docs["doc_id"] == F.col(name), how)
+    spread = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
+    return docs.join(ids.hint("shuffle_hash"), (spread == ids[name].cast("long")) & docs["doc_id"].isNotNull(), how)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

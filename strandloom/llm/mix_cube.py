@@ -128,8 +128,10 @@ def sample(docs: DataFrame, weights: Mapping[str | None, float] | None = None, s
     Tokens are runs of characters other than white space; a null text has 0. Rows that
     share a doc_id are one unit, with the sum of their tokens and their least source;
     rows without doc_id can't be named and aren't sampled. A null source is a source of
-    its own. The draw depends on ids, sources and tokens alone, not on the order of rows.
-    One row of totals for each source goes to the driver. An empty table gives no rows.
+    its own. The draw depends on ids, sources and tokens alone, not on the order of rows;
+    equal hashes of ids, by which units are ordered, are told apart by the ids. Texts are
+    counted whole, however long. Other columns, whatever their names, are not read. One row
+    of totals for each source goes to the driver. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -158,8 +160,12 @@ def sample(docs: DataFrame, weights: Mapping[str | None, float] | None = None, s
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is sampled, with the columns of ``docs``."""
-    chosen = Scratch(docs.sparkSession, "mixed").keep("ids", sample(docs, **options).select(F.col("doc_id").alias("__chosen")))
+    """The rows of ``docs`` whose doc_id is sampled, with the columns of ``docs``, of any name and type.
+
+    Options and odd rows are those of :func:`sample`: rows that share a sampled doc_id all
+    stay, rows without one go, and a null or empty text is a document of no tokens.
+    """
+    chosen = Scratch(docs.sparkSession, "mixed").keep("ids", sample(docs, **options).select("doc_id"))
     return by_ids(docs, chosen, "left_semi")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import labelled, table
+from strandloom.llm.common import labelled, least, table
 
 #: Most labelled documents that are fitted on; the sample is by hash of doc_id.
 MAX_LABELLED = 20_000
@@ -199,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Addi
             found = feature_rows(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "y", "x"])
 
-    got = labelled(docs, labels, "quality", bound).mapInArrow(rows, "id long, y int, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    got = labelled(docs, labels, "quality", bound).mapInArrow(rows, "id long, y int, x binary")
+    got = least(got, bound)
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float64).reshape(-1, len(FEATURES))
     return fit(x, got.column("y").to_numpy().astype(np.float64) > 0)
 
@@ -225,15 +226,17 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     """Rows of ``docs`` whose probability of good quality reaches ``threshold``, with the columns of ``docs``.
 
     A null text has no score and is rejected; an empty text is scored like any other.
-    Rows are judged one by one, so repeated rows share one fate, and null ids or
-    further columns play no part.
+    Features are of the whole text, however long. Rows are judged one by one, so
+    repeated rows share one fate; one exactly at the threshold stays. Null ids and
+    further columns, whatever their names, play no part. An empty ``docs`` gives no
+    rows; without labelled documents each text has probability 0.5 and so stays.
     """
     quality = scorer(docs.sparkSession, train(docs, labels, bound))
     return docs.where(quality(F.col("text")) >= threshold)
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, quality) of the documents that the classifier keeps; all others are rejected."""
+    """(doc_id, quality) of the documents that the classifier keeps; all others are rejected. Odd rows fare as in :func:`keep_quality`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     quality = scorer(spark, train(docs, table(spark, sf_dir, "labels")))
     return docs.select("doc_id", quality(F.col("text")).alias("quality")).where(F.col("quality") >= THRESHOLD)

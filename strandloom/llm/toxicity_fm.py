@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import labelled, slices, table, words
+from strandloom.llm.common import labelled, least, slices, table, words
 
 BUCKETS, FACTORS, WINDOW = 1 << 20, 8, 64
 #: Letters of a word's beginning that are a term beside the word itself.
@@ -186,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mach
             packed = [[x.astype("<u4").tobytes() for x in part] for part in zip(*found)] or [[], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.binary()) for x in packed)], ["id", "y", "x", "half"])
 
-    got = labelled(docs, labels, "toxic", bound).mapInArrow(rows, "id long, y int, x binary, half binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    got = labelled(docs, labels, "toxic", bound).mapInArrow(rows, "id long, y int, x binary, half binary")
+    got = least(got, bound)
     texts = [tuple(np.frombuffer(x, "<u4") for x in both) for both in zip(got.column("x").to_pylist(), got.column("half").to_pylist())]
     return fit(texts, got.column("y").to_numpy() > 0)
 

@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 
 from strandloom.llm import mix_cube as M
-from strandloom.llm import common
 from strandloom.llm.common import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -63,8 +62,9 @@ def test_empty_table(spark):
     assert M.sample(docs).collect() == [] and M.mix(docs).collect() == []
 
 
-def test_long_id_lists_are_joined_alike(spark, monkeypatch):
+def test_columns_named_like_the_id_lists(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
-    few = sorted(r.doc_id for r in M.mix(docs).collect())
-    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
-    assert sorted(r.doc_id for r in M.mix(docs).collect()) == few
+    plain = sorted(r.doc_id for r in M.mix(docs).collect())
+    named = docs.selectExpr("*", "1 AS __chosen", "doc_id AS id", "'x' AS name", "map(1, 2) AS p")
+    kept = M.mix(named)
+    assert kept.columns == named.columns and sorted(r.doc_id for r in kept.collect()) == plain
