@@ -9,15 +9,19 @@ The bits lie on a ring of SEGMENTS segments with differences d_0 .. d_{m-1}. If
 sum to at most tau, some start s has every chain of l consecutive segments from s
 within l * tau / m (Qin and Xiao, "Pigeonring", VLDB 2018). So d_s is at most
 floor(tau / m), which is 2 here, and two values that differ in two bits both lie one
-bit from a common value: each fingerprint is filed under the values within one bit of
-each of its segments, and near pairs meet under some key. There the chain's budgets
-are checked segment by segment; the last budget is the full Hamming check. The search
-is exact: no bucket, however full, is cut.
+bit from a common value: each fingerprint has as keys the values within one bit of each of
+its segments, and near pairs meet under some key. There the chain's budgets are checked
+segment by segment; the last budget is the full Hamming check. The search is exact: no
+bucket, however full, is cut.
+
+A bucket is named by a segment's leading bits, so most keys of a fingerprint lie in its
+own bucket: it is sent there once, and once to each bucket that differs in one leading
+bit. The keys are made where they are compared. The leading bits grow with the logarithm
+of the number of fingerprints.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +38,8 @@ BITS, TAU, SEGMENTS = 128, 16, 6
 #: Words in a shingle, and the bits in which the shingles' fingerprints of near copies may differ.
 SHINGLE, CONTEXT = 3, 42
 PRINT = ["hi", "lo", "shi", "slo"]
-#: Filed entries in one bucket of the search, 33 bytes each.
-BUCKET_ENTRIES = 1_000_000
+#: Fingerprints in one bucket of the search, 32 bytes each, and their keys that are in memory at once.
+BUCKET_ENTRIES, CHUNK_KEYS = 1_000_000, 2_000_000
 
 
 def fingerprint(tokens: list[str]) -> bytes:
@@ -94,9 +98,7 @@ class Ring:
         self.tau, self.m = tau, segments
         edges = np.linspace(0, BITS, segments + 1).round().astype(int)
         self.spans = [(int(a), int(b)) for a, b in zip(edges, edges[1:])]
-        self.variants = [(s, flip) for s, (a, b) in enumerate(self.spans) for flip in (0, *(1 << k for k in range(b - a)))]
-        self.of_segment = np.array([s for s, _ in self.variants], np.int64)
-        self.flips = np.array([f for _, f in self.variants], np.int64)
+        self.widths = [b - a for a, b in self.spans]
         self.budgets = [(k + 1) * tau // segments for k in range(segments)]
 
     def values(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -114,47 +116,44 @@ class Ring:
             out[:, s] = (part & np.uint64((1 << width) - 1)).astype(np.int64)
         return out
 
-    def keys(self, values: np.ndarray, variant: np.ndarray) -> np.ndarray:
-        """One key for each row of values and its variant."""
-        s = self.of_segment[variant]
-        return (values[np.arange(len(values)), s] ^ self.flips[variant]) | (s << 40)
+    def prefix_bits(self, prints: int, entries: int) -> int:
+        """How many leading bits of a segment name a bucket, so that about ``entries`` of the fingerprints lie in one."""
+        return next((h for h in range(min(self.widths)) if prints * (1 + h) <= entries << h), min(self.widths) - 1)
 
-    def near(self, x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
+    def buckets(self, values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, row): where each row of values is filed.
+
+        A segment within one bit of the row's own lies in the bucket of its leading bits
+        or in one of those that differ in one of them.
+        """
+        flips = np.array([0, *(1 << k for k in range(bits))], np.int64)
+        found = [((values[:, s] >> (w - bits))[:, None] ^ flips) | (s << 40) for s, w in enumerate(self.widths)]
+        bucket = np.concatenate(found, axis=1)
+        return bucket.reshape(-1), np.repeat(np.arange(len(values)), bucket.shape[1])
+
+    def near(self, x: np.ndarray, y: np.ndarray, start: int) -> np.ndarray:
         """Rows whose chain from ``start`` keeps all its budgets, so that at most tau bits differ."""
         alive, total = np.arange(len(x)), np.zeros(len(x), np.int64)
         for k, budget in enumerate(self.budgets):
-            s = (start[alive] + k) % self.m
+            s = (start + k) % self.m
             total = total + np.bitwise_count(x[alive, s] ^ y[alive, s])
             ok = total <= budget
             alive, total = alive[ok], total[ok]
         return alive
 
 
-def _mix(keys: np.ndarray) -> np.ndarray:
-    """Spreads keys over buckets."""
-    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(32))
-
-
-def _file(ring: Ring, buckets: int):
-    """Batches of (hi, lo, shi, slo) into one packed row for each bucket: 32 bytes of fingerprints and the variant."""
-    count = len(ring.variants)
+def _file(ring: Ring, bits: int):
+    """Batches of (hi, lo, shi, slo) into packed rows: 32 bytes for each fingerprint that is filed in a bucket, once there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8192):
+        for batch in slices(batches, 32_768):
             halves = hi, lo, *_ = [batch.column(k).to_numpy() for k in range(4)]
-            n = len(hi)
-            row = np.repeat(np.arange(n), count)
-            variant = np.tile(np.arange(count), n)
-            at = (_mix(ring.keys(ring.values(hi, lo)[row], variant)) % np.uint64(buckets)).astype(np.int64)
+            at, row = ring.buckets(ring.values(hi, lo), bits)
             order = np.argsort(at, kind="stable")
-            at, row, variant = at[order], row[order], variant[order]
+            at, row = at[order], row[order]
             cuts = np.flatnonzero(np.diff(at, prepend=-1))
-            names, packed = [], []
-            for a, b in zip(cuts, [*cuts[1:], len(at)]):
-                names.append(int(at[a]))
-                packed.append(b"".join(x[row[a:b]].tobytes() for x in halves) + variant[a:b].astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+            packed = [b"".join(x[row[a:b]].tobytes() for x in halves) for a, b in zip(cuts, [*cuts[1:], len(at)])]
+            yield pa.RecordBatch.from_arrays([pa.array(at[cuts]), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
     return run
 
@@ -185,56 +184,60 @@ class _Forest:
             self.up = up
 
 
-def _edges_of_bucket(ring: Ring, hi: np.ndarray, lo: np.ndarray, variant: np.ndarray, shingles: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of positions that span the near pairs which meet here; without shingles, the words decide alone."""
-    shingles = np.zeros((len(hi), 2), np.int64) if shingles is None else shingles
-    values = ring.values(hi, lo)
-    keys = ring.keys(values, variant)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    again = keys[1:] == keys[:-1]
-    shared = np.zeros(len(keys), bool)
-    shared[1:] |= again
-    shared[:-1] |= again
-    order, keys = order[shared], keys[shared]
-    if not len(order):
-        return []
-    # One node for each fingerprint, however many keys it is filed under here.
-    pairs, shingles = np.stack([hi[order], lo[order]], axis=1), shingles[order]
-    pairs = np.concatenate([pairs, shingles], axis=1)
-    _, first, node = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
-    node = node.reshape(-1)
-    values, start = values[order], ring.of_segment[variant[order]]
-    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True))
-    end = last[np.searchsorted(last, np.arange(len(keys)))]
-    forest, found = _Forest(len(first)), []
-    at = np.flatnonzero(end > np.arange(len(keys)))
-    gap = 1
-    while len(at):
-        other = at + gap
-        apart = forest.up[node[at]] != forest.up[node[other]]
-        x, y = at[apart], other[apart]
-        if len(x):
-            kept = ring.near(values[x], values[y], start[x])
-            kept = kept[np.bitwise_count(shingles[x[kept]].view(np.uint64) ^ shingles[y[kept]].view(np.uint64)).sum(1) <= CONTEXT]
+def _keyed(own: np.ndarray, width: int, bits: int, prefix: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, key) of all values within one bit of the segments ``own`` that lie in a bucket, about ``chunk`` at a time."""
+    rest = width - bits
+    home = own >> rest == prefix
+    tail = own & ((1 << rest) - 1)
+    more = 0
+    while more < rest and (int(home.sum()) * (1 + rest - more) + len(own)) >> more > chunk:
+        more += 1
+    low = rest - more
+    lead = tail >> low
+    for part in range(1 << more):
+        whole, apart = np.flatnonzero(lead == part), np.flatnonzero(home & (np.bitwise_count(lead ^ part) == 1))
+        mine = whole[home[whole]]
+        flips = np.array([1 << k for k in range(low)], np.int64)
+        rows = np.concatenate([whole, np.repeat(mine, low), apart])
+        yield rows, np.concatenate([tail[whole], (tail[mine, None] ^ flips).reshape(-1), tail[apart] ^ ((lead[apart] ^ part) << low)])
+
+
+def _pairs_of_bucket(ring: Ring, bits: int, bucket: int, halves: np.ndarray, chunk: int = CHUNK_KEYS) -> np.ndarray:
+    """Pairs of the bucket's rows that span the near pairs which meet here. ``halves`` has the rows of PRINT."""
+    s, prefix = bucket >> 40, bucket & ((1 << 40) - 1)
+    values, shingles = ring.values(halves[0], halves[1]), halves[2:].T.copy().view(np.uint64)
+    forest, found = _Forest(len(values)), []
+    for row, keys in _keyed(values[:, s], ring.widths[s], bits, prefix, chunk):
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        again = keys[1:] == keys[:-1]
+        shared = np.zeros(len(keys), bool)
+        shared[1:] |= again
+        shared[:-1] |= again
+        node, keys = row[order[shared]], keys[shared]
+        last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)[: len(keys)])
+        end = last[np.searchsorted(last, np.arange(len(keys)))]
+        at = np.flatnonzero(end > np.arange(len(keys)))
+        gap = 1
+        while len(at):
+            x, y = node[at], node[at + gap]
+            apart = forest.up[x] != forest.up[y]
+            x, y = x[apart], y[apart]
+            kept = ring.near(values[x], values[y], s)
+            kept = kept[np.bitwise_count(shingles[x[kept]] ^ shingles[y[kept]]).sum(1) <= CONTEXT]
             if len(kept):
-                found += [(int(order[first[a]]), int(order[first[b]])) for a, b in forest.join(node[x[kept]], node[y[kept]])]
+                found += forest.join(x[kept], y[kept])
                 forest.flatten()
-        gap += 1
-        at = at[at + gap <= end[at]]
-    return found
+            gap += 1
+            at = at[at + gap <= end[at]]
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
-def _search(ring: Ring):
+def _search(ring: Ring, bits: int):
     def run(group: pa.Table) -> pa.Table:
-        prints, variants = [], []
-        for blob in group.column("packed").to_pylist():
-            n = len(blob) // 33
-            prints.append(np.frombuffer(blob, np.int64, 4 * n).reshape(4, n))
-            variants.append(np.frombuffer(blob, np.uint8, n, 32 * n))
-        halves, variant = np.concatenate(prints, axis=1), np.concatenate(variants).astype(np.int64)
-        edges = np.array(_edges_of_bucket(ring, halves[0], halves[1], variant, np.ascontiguousarray(halves[2:].T)), np.int64).reshape(-1, 2)
-        return pa.table({f"{name}_{side}": half[edges[:, k]] for k, side in enumerate("ab") for name, half in zip(PRINT, halves)})
+        halves = np.concatenate([np.frombuffer(blob, np.int64).reshape(4, -1) for blob in group.column("packed").to_pylist()], axis=1)
+        pairs = _pairs_of_bucket(ring, bits, group.column("bucket")[0].as_py(), halves)
+        return pa.table({f"{name}_{side}": half[pairs[:, k]] for k, side in enumerate("ab") for name, half in zip(PRINT, halves)})
 
     return run
 
@@ -243,18 +246,20 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, segments: int = SEGMENTS) -
     """(doc_id, group_id) of every document that has a near copy; group_id is the least doc_id of its group.
 
     Groups are the connected components of "at most ``tau`` bits apart, and at most
-    CONTEXT by shingles". A row
-    without doc_id, with a null text or with no word is in no group. Rows that
-    repeat a doc_id count once in a group. Other columns of ``docs`` are not read.
-    An empty table gives no rows. Ties don't arise: ids decide.
+    CONTEXT by shingles". Texts are read whole, however long. A row without doc_id, with
+    a null text or with no word is in no group. Rows that repeat a doc_id count once in a
+    group. Other columns of ``docs``, whatever their names, are not read. An empty table
+    gives no rows. Ties don't arise: ids decide.
     """
     spark = docs.sparkSession
     ring, scratch = Ring(tau, segments), Scratch(spark, "simhash")
     prints = scratch.keep("prints", fingerprints(docs))
-    distinct = scratch.keep("distinct", prints.groupBy(PRINT).agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    buckets = max(1, math.ceil(distinct.count() * len(ring.variants) / BUCKET_ENTRIES))
-    filed = distinct.select(PRINT).mapInArrow(_file(ring, buckets), "bucket long, packed binary")
-    met = scratch.keep("met", filed.groupBy("bucket").applyInArrow(_search(ring), ", ".join(f"{name}_{side} long" for side in "ab" for name in PRINT)))
+    distinct, n = scratch.keep_counted("distinct", prints.groupBy(PRINT).agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    bits = ring.prefix_bits(n, BUCKET_ENTRIES)
+    # A bucket is much work for few bytes, so tasks aren't left to be coalesced by size.
+    parts = min(2 * ring.m << bits, 20_000)
+    filed = distinct.select(PRINT).mapInArrow(_file(ring, bits), "bucket long, packed binary").repartition(parts, "bucket")
+    met = scratch.keep("met", filed.groupBy("bucket").applyInArrow(_search(ring, bits), ", ".join(f"{name}_{side} long" for side in "ab" for name in PRINT)))
     names = distinct.select(*PRINT, "rep")
     of = lambda side: [f"{name}_{side}" for name in PRINT]
     edges = (
@@ -277,20 +282,22 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, segments: int = SEGMENTS) -
 def deduplicate(docs: DataFrame, tau: int = TAU, segments: int = SEGMENTS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the least doc_id.
 
-    Rows without doc_id, with a null text or without words stay. Where rows repeat
-    the doc_id that stays, one of the rows that are equal in all columns stays, and of
-    rows that differ each stays. Columns are those of ``docs``.
+    Rows without doc_id, with a null text or without words stay. Where rows repeat the
+    doc_id that stays, those with the same text are one: the least of them as JSON stays.
+    Rows with one doc_id and different texts stay each. Texts are read whole, however
+    long. Columns are those of ``docs``; further ones may have any name and type. An
+    empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     found = scratch.keep("groups", near_duplicates(docs, tau, segments))
-    gone = found.where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    left = by_ids(docs, gone, "left_anti")
-    repeated = scratch.keep("repeated", docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again"))
-    if repeated.isEmpty():
+    left = by_ids(docs, scratch.keep("gone", found.where("doc_id <> group_id").select("doc_id")), "left_anti")
+    repeated, n = scratch.keep_counted("repeated", docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not n:
         return left
-    once = by_ids(left, repeated, "left_anti")
-    many = by_ids(left, repeated, "left_semi")
-    return once.unionByName(many.distinct())
+    once, many = by_ids(left, repeated, "left_anti"), by_ids(left, repeated, "left_semi")
+    row = F.struct(*(many[c] for c in many.columns))
+    # Copies are combined where they lie, and only texts that differ meet for one id.
+    return once.unionByName(many.groupBy(many["doc_id"], many["text"]).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,9 @@ def test_equals_brute_force(spark):
     assert want and {tuple(r) for r in S.near_duplicates(docs).collect()} == want
 
 
+@pytest.mark.parametrize("lead,chunk", [(0, 10**6), (0, 50), (4, 10**6), (7, 40)])
 @pytest.mark.parametrize("tau,segments", [(16, 6), (11, 4), (5, 6)])
-def test_search_is_exact_on_random_fingerprints(tau, segments):
+def test_search_is_exact_on_random_fingerprints(tau, segments, lead, chunk):
     rng = np.random.default_rng(tau)
     ring = S.Ring(tau, segments)
     base = rng.integers(-(2**63), 2**63 - 1, (30, 2), np.int64)
@@ -49,9 +50,14 @@ def test_search_is_exact_on_random_fingerprints(tau, segments):
                 bits ^= 1 << int(k)
             prints.append(np.frombuffer(bits.to_bytes(16, "big"), np.int64))
     prints = np.unique(np.array(prints), axis=0)
-    n, v = len(prints), len(ring.variants)
-    row, variant = np.repeat(np.arange(n), v), np.tile(np.arange(v), n)
-    got = _components(n, [(row[a], row[b]) for a, b in S._edges_of_bucket(ring, prints[row, 0], prints[row, 1], variant)])
+    n, halves = len(prints), np.concatenate([prints, np.zeros_like(prints)], axis=1).T.copy()
+    bucket, row = ring.buckets(ring.values(halves[0], halves[1]), lead)
+    assert len(set(zip(bucket.tolist(), row.tolist()))) == len(row) == n * segments * (1 + lead)
+    found = []
+    for b in np.unique(bucket):
+        own = row[bucket == b]
+        found += [tuple(own[p]) for p in S._pairs_of_bucket(ring, lead, int(b), halves[:, own], chunk)]
+    got = _components(n, found)
     raw = prints.view(np.uint64)
     apart = sum(np.bitwise_count(raw[:, None, k] ^ raw[None, :, k]).astype(int) for k in (0, 1))
     want = _components(n, [tuple(p) for p in np.argwhere(apart <= tau)])
@@ -99,6 +105,22 @@ def test_long_unrelated_texts_are_not_linked(spark):
     assert {tuple(r) for r in S.near_duplicates(docs).collect()} == {(1, 1), (5, 1)}
 
 
+def test_buckets_keep_their_size():
+    ring = S.Ring()
+    assert ring.prefix_bits(10**6, 10**6) == 0 < ring.prefix_bits(10**6 + 1, 10**6)
+    for n in (10**7, 10**9):
+        h = ring.prefix_bits(n, 10**6)
+        assert n * (1 + h) / 2**h <= 10**6 < n * h / 2 ** (h - 1)
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "one text here"), (1, "one text here"), (1, "quite another matter"), (2, "one text here"), (3, "stays"), (None, "one text here"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "map('k', 1) AS __again", "2 AS __gone", "3 AS `row`", "4 AS rep", "array(1) AS gone")
+    kept = S.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "one text here"), (1, "quite another matter"), (3, "stays"), (None, "one text here"), (4, None)], key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert S.near_duplicates(docs).collect() == [] and S.deduplicate(docs).collect() == []
