@@ -1,11 +1,17 @@
 """Secret scans by assignment-aware lexing of source code and configuration.
 
-Every ``=``, ``:``, ``:=`` or ``=>`` in a text is read as an assignment where a name
-stands to its left and an expression to its right: string literals in any quoting, bare
-configuration values, names of constants assigned earlier, concatenations of these and
-``${NAME}`` inside them. Constants are propagated in the order of the text, so that a
+Every ``=``, ``:``, ``:=``, ``=>`` or ``+=`` in a text is read as an assignment where a
+name stands to its left and an expression to its right: string literals in any quoting,
+bare configuration values, names of constants assigned earlier, concatenations of these
+and ``${NAME}`` inside them. Constants are propagated in the order of the text, so that a
 password put together from parts is found at the name it ends up in. A literal is scored
 by how sensitive its target's name is and by how random the literal looks.
+
+What constants make of a text is bounded: once the characters that references, and
+indented blocks within blocks, brought in sum to more than EXPANSION and the text's own
+length, later ones stay unread, so that memory and time stay in proportion to the text.
+Literals are always read.
+Names have no scope: the last assignment before a use counts, in comments too.
 """
 
 from __future__ import annotations
@@ -23,11 +29,13 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import slices, table
 
 THRESHOLD = 0.5
+#: Characters that references to constants may bring into a text beyond its own length.
+EXPANSION = 100_000
 
 FINDINGS = "doc_id long, at long, name string, kind string, length int, score double, digest string"
 
-_OPERATOR = re.compile(r":=|=>|[=:]")
-_QUOTED = re.compile(r"""[rRbBuUfF@$]{0,2}(?:\"{3}((?:[^"\\]|\\.|"(?!""))*)\"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)""", re.S)
+_OPERATOR = re.compile(r":=|=>|\+=|[=:]")
+_QUOTED = re.compile(r"""[rRbBuUfF@$]{0,2}(?:\"{3}((?:[^"\\]++|\\.|"(?!""))*+)\"{3}|'{3}((?:[^'\\]++|\\.|'(?!''))*+)'{3}|"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`]*+)`)""", re.S)
 _NAME = re.compile(r"[A-Za-z_][\w.]*(?![\w.(\[])")
 _BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>|&]+")
 _INSIDE = re.compile(r"\$\{(\w+)\}|\{\{\s*(\w+)\s*\}\}|\$(\w+)|\{(\w+)\}|%\((\w+)\)s")
@@ -89,36 +97,72 @@ def score(name: str, literal: str) -> tuple[str, float]:
     return kind, weight * value
 
 
-def _target(text: str, at: int) -> str:
-    """The name that ends left of ``at``, or ""."""
+_TYPES = ("str", "string", "bytes", "text", "char", "final", "const")
+
+
+def _before(text: str, at: int, signs: str) -> int:
+    """Where the run of ``signs`` that ends at a place begins."""
+    while at and text[at - 1] in signs:
+        at -= 1
+    return at
+
+
+def _name_before(text: str, at: int) -> tuple[int, int]:
+    """Where the run of name characters that ends at a place begins, and that place."""
     k = at
-    while k and text[k - 1] in " \t":
-        k -= 1
-    # A type stands between a name and "=" as in ``name: str = ...``: the ":" before has no literal of its own.
-    while k and text[k - 1] in "\"']":
-        k -= 1
-    end = k
     while k and (text[k - 1].isalnum() or text[k - 1] in "_.-$"):
         k -= 1
+    return k, at
+
+
+def _target(text: str, at: int) -> str:
+    """The name that ends left of ``at``, or ""."""
+    k, end = _name_before(text, _before(text, _before(text, at, " \t"), "\"']"))
     name = text[k:end].strip(".-$")
-    if k and name and text[end : end + 1] != "]":
-        before = re.search(r"([A-Za-z_][\w.-]*)[ \t]*:[ \t]*(?:[A-Za-z_][\w.]*[ \t]*\|[ \t]*)?$", text[max(0, k - 80) : k])
-        if before and text[at] == "=" and name.lower() in ("str", "string", "bytes", "text", "char", "final", "const"):
-            return before[1]
+    # A type stands between a name and "=" as in ``name: str = ...`` or ``name: None | str = ...``.
+    if text[at] == "=" and name.lower() in _TYPES and text[end : end + 1] != "]":
+        k = _before(text, k, " \t")
+        if k and text[k - 1] == "|":
+            k = _before(text, _name_before(text, _before(text, k - 1, " \t"))[0], " \t")
+        if k and text[k - 1] == ":":
+            a, b = _name_before(text, _before(text, k - 1, " \t"))
+            if typed := text[a:b].strip(".-$"):
+                return typed
     return name
 
 
-def _fill(literal: str, known: dict[str, str]) -> str:
-    return _INSIDE.sub(lambda m: known.get(next(g for g in m.groups() if g is not None), m[0]), literal)
+class _Constants(dict):
+    """Values of names, and how many characters references and blocks within blocks may still bring in."""
+
+    def __init__(self, left: int):
+        super().__init__()
+        self.left, self.block_end = left, 0
+
+    def use(self, name: str) -> str | None:
+        value = self.get(name)
+        if value is not None:
+            if len(value) > self.left:
+                return None
+            self.left -= len(value)
+        return value
 
 
-def _operand(text: str, at: int, known: dict[str, str]) -> tuple[str | None, int]:
+def _fill(literal: str, known: _Constants) -> str:
+    def value(m: re.Match) -> str:
+        found = known.use(next(g for g in m.groups() if g is not None))
+        return m[0] if found is None else found
+
+    return _INSIDE.sub(value, literal)
+
+
+def _operand(text: str, at: int, known: _Constants) -> tuple[str | None, int]:
     """Value of a literal or a known constant at a place, and where it ends; None for anything else."""
     if m := _QUOTED.match(text, at):
         body = next(g for g in m.groups() if g is not None)
         return _fill(_ESCAPE.sub(r"\1", body), known), m.end()
-    if (m := _NAME.match(text, at)) and (m[0].rstrip(".") in known):
-        return known[m[0].rstrip(".")], at + len(m[0].rstrip("."))
+    if m := _NAME.match(text, at):
+        name = m[0].rstrip(".")
+        return known.use(name), at + len(name) if name in known else at
     return None, at
 
 
@@ -141,11 +185,17 @@ def _block(text: str, at: int) -> tuple[str, int]:
     return "\n".join(lines).strip(), at
 
 
-def _value(text: str, at: int, known: dict[str, str]) -> tuple[str | None, int]:
+def _value(text: str, at: int, known: _Constants) -> tuple[str | None, int]:
     """Value of the expression at a place, and where it ends."""
     before, at = at, _begin(text, at)
     if m := _BLOCK.match(text, at):
-        return _block(text, m.end())
+        inner = m.end() < known.block_end
+        if inner and known.left <= 0:
+            return None, at
+        value, end = _block(text, m.end())
+        known.left -= inner * (end - at)
+        known.block_end = max(known.block_end, end)
+        return value, end
     value, end = _operand(text, at, known)
     opened = text[before:at].strip(" \t")
     # On the next line a name may begin, as in ``key:`` above ``"name": ...``.
@@ -172,7 +222,7 @@ def findings(text: str, threshold: float = THRESHOLD) -> list[tuple[int, str, st
     ``at`` is the character at which the expression starts. The literal itself isn't
     reported, only the start of its SHA-256.
     """
-    known: dict[str, str] = {}
+    known = _Constants(EXPANSION + len(text))
     out = []
     for m in _OPERATOR.finditer(text):
         a, b = m.span()
@@ -181,11 +231,17 @@ def findings(text: str, threshold: float = THRESHOLD) -> list[tuple[int, str, st
         name = _target(text, a)
         if not name or not (name[0].isalpha() or name[0] == "_"):
             continue
+        # What is added to something unknown is scored by itself.
+        old = known.use(name) if m[0] == "+=" else ""
         value, _ = _value(text, b, known)
         if value is None:
             known.pop(name, None)
             continue
-        known[name] = value
+        value = (old or "") + value
+        if old is None:
+            known.pop(name, None)
+        else:
+            known[name] = value
         kind, found = score(name, value)
         if found >= threshold:
             start = _begin(text, b)
@@ -196,9 +252,11 @@ def findings(text: str, threshold: float = THRESHOLD) -> list[tuple[int, str, st
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, at, name, kind, length, score, digest) of every secret in ``docs``.
 
-    Constants are known within one text only. A null or empty text has none; repeated
-    rows report alike, and a null doc_id stays null. Other columns are not read. An empty
-    table gives no rows. ``at`` counts characters from 0.
+    Constants are known within one text only. A null or empty text has none; a long one is
+    read whole, in time and memory in proportion to it. Repeated rows report alike, and a
+    null doc_id stays null. A score that equals ``threshold`` is reported. Other columns,
+    whatever their names, are not read. An empty table gives no rows. ``at`` counts
+    characters from 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
