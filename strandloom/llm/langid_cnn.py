@@ -15,14 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import table
+from strandloom.llm.common import slices, table
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 12, 256
-#: Most labelled texts that are fitted on, chosen by hash of doc_id, and windows of each, spread over it.
-MAX_LABELLED, WINDOWS_OF_TEXT = 3_000, 2
+#: Most labelled texts, chosen by hash of doc_id, and most of their windows that are fitted on.
+MAX_LABELLED, MAX_WINDOWS = 3_000, 12_000
+#: Steps of the training, at every size of the sample.
+STEPS = 560
 #: Windows that are scored at once.
 BATCH = 512
 
@@ -74,57 +77,65 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, least_steps: int = 400, rate: float = 0.01, batch: int = 64, seed: int = 11) -> Network:
-    """Adam on windows ``x`` (n, WINDOW) with indices ``y`` of ``languages``; few windows get more epochs, up to ``least_steps``."""
+def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = STEPS, rate: float = 0.01, batch: int = 64, seed: int = 11) -> Network:
+    """Adam on windows ``x`` (n, WINDOW) with indices ``y`` of ``languages``, which are drawn without putting back until none is left, and then anew."""
     rng = np.random.default_rng(seed)
     tables = [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS]
     biases = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     net = Network(languages, tables, biases, rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(languages))), np.zeros(len(languages)))
     params = [*tables, *biases, net.weights, net.offset]
-    first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(max(epochs, -(-least_steps // max(1, -(-len(x) // batch))))):
-        order = rng.permutation(len(x))
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            own = x[rows]
-            values, places = net.pooled(own, where=True)
-            hidden = np.maximum(values, 0).astype(np.float64)
-            g = np.exp(_log_softmax(hidden @ net.weights + net.offset))
-            g[np.arange(len(rows)), y[rows]] -= 1
-            g /= len(rows)
-            back = (g @ net.weights.T) * (values > 0)
-            slopes = []
-            for k, w in enumerate(WIDTHS):
-                slope = np.zeros((w, 256, FILTERS), np.float32)
-                part, place = back[:, k * FILTERS : (k + 1) * FILTERS], places[:, k * FILTERS : (k + 1) * FILTERS]
-                column = np.broadcast_to(np.arange(FILTERS), part.shape)
-                for j in range(w):
-                    np.add.at(slope[j], (np.take_along_axis(own, place + j, 1), column), part)
-                slopes.append(slope)
-            slopes += [back[:, k * FILTERS : (k + 1) * FILTERS].sum(0) for k in range(len(WIDTHS))]
-            slopes += [hidden.T @ g, g.sum(0)]
-            step += 1
-            for p, s, a, b in zip(params, slopes, first, second):
-                a += 0.1 * (s - a)
-                b += 0.001 * (s * s - b)
-                p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    order = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(order) < min(batch, len(x)):
+            order = np.append(order, rng.permutation(len(x)))
+        rows, order = order[:batch], order[batch:]
+        own = x[rows]
+        values, places = net.pooled(own, where=True)
+        hidden = np.maximum(values, 0).astype(np.float64)
+        g = np.exp(_log_softmax(hidden @ net.weights + net.offset))
+        g[np.arange(len(rows)), y[rows]] -= 1
+        g /= len(rows)
+        back = (g @ net.weights.T) * (values > 0)
+        slopes = []
+        for k, w in enumerate(WIDTHS):
+            slope = np.zeros((w, 256, FILTERS), np.float32)
+            part, place = back[:, k * FILTERS : (k + 1) * FILTERS], places[:, k * FILTERS : (k + 1) * FILTERS]
+            column = np.broadcast_to(np.arange(FILTERS), part.shape)
+            for j in range(w):
+                np.add.at(slope[j], (np.take_along_axis(own, place + j, 1), column), part)
+            slopes.append(slope)
+        slopes += [back[:, k * FILTERS : (k + 1) * FILTERS].sum(0) for k in range(len(WIDTHS))]
+        slopes += [hidden.T @ g, g.sum(0)]
+        for p, s, a, b in zip(params, slopes, first, second):
+            a += 0.1 * (s - a)
+            b += 0.001 * (s * s - b)
+            p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     return net
 
 
-def train(docs: DataFrame, bound: int = MAX_LABELLED) -> Network | None:
-    """Fits on at most ``bound`` texts whose ``lang`` is given; None where there are none.
+def sampled(texts: DataFrame, most: int = MAX_WINDOWS) -> DataFrame:
+    """(id, x, lang) of at most ``most`` windows of the texts (id, text, lang).
 
-    At most WINDOWS_OF_TEXT windows of a text, evenly spread over it, are trained on.
+    All windows of a text are shuffled by hash, and every text gives its first ones before
+    any gives more: each window of a text, however long, has the same chance.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = []
-            for text in batch.column(1).to_pylist():
-                own = windows(text.encode("utf-8", "surrogatepass"))
-                packed.append(own[np.unique(np.linspace(0, len(own) - 1, min(len(own), WINDOWS_OF_TEXT)).round().astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["id", "x", "lang"])
+        for batch in slices(batches, 1):
+            key, text, lang = (batch.column(k)[0].as_py() for k in range(3))
+            own = windows(text.encode("utf-8", "surrogatepass"))
+            drawn = np.array([xxhash.xxh64_intdigest(f"{key} {k}") for k in range(len(own))], np.uint64)
+            first = np.argsort(drawn, kind="stable")[:most]
+            columns = ([key] * len(first), [own[k].tobytes() for k in first], [lang] * len(first), np.arange(len(first)), drawn[first].view(np.int64))
+            kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "x", "lang", "turn", "drawn"])
 
+    return texts.mapInArrow(rows, "id long, x binary, lang string, turn long, drawn long").orderBy("turn", "drawn", "id", "x").limit(most).select("id", "x", "lang")
+
+
+def train(docs: DataFrame, bound: int = MAX_LABELLED, most: int = MAX_WINDOWS) -> Network | None:
+    """Fits on windows of at most ``bound`` texts whose ``lang`` is given, on at most ``most`` of them; None where there are none."""
     chosen = (
         docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
         .where("id IS NOT NULL AND lang IS NOT NULL AND text <> ''")
@@ -132,13 +143,13 @@ def train(docs: DataFrame, bound: int = MAX_LABELLED) -> Network | None:
     )
     # Ids alone are sorted; the chosen texts are read again.
     ids = chosen.select("id", "order").distinct().orderBy("order", "id").limit(bound).select(F.col("id").alias("__id"))
-    got = chosen.join(F.broadcast(ids), F.col("id") == F.col("__id")).select("id", "text", "lang").mapInArrow(rows, "id long, x binary, lang string").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    got = chosen.join(F.broadcast(ids), F.col("id") == F.col("__id")).select("id", "text", "lang")
+    got = sampled(got, most).toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
     languages = sorted(set(got.column("lang").to_pylist()))
     if not languages:
         return None
-    parts = [np.frombuffer(x, np.uint8).reshape(-1, WINDOW) for x in got.column("x").to_pylist()]
-    y = np.repeat([languages.index(k) for k in got.column("lang").to_pylist()], [len(p) for p in parts])
-    return fit(np.concatenate(parts), y, languages)
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(-1, WINDOW)
+    return fit(x, np.array([languages.index(k) for k in got.column("lang").to_pylist()]), languages)
 
 
 def identifier(spark: SparkSession, network: Network | None) -> Callable[[Column], Column]:
@@ -181,8 +192,9 @@ def identify_languages(docs: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
 
     A null or empty text has a null language, and so has every text if no row of
     ``docs`` has a label. Equal probabilities give the language that is first by name.
-    Rows are judged one by one: repeated rows and null ids stay. Other columns are not
-    read.
+    Rows are judged one by one: repeated rows and null ids stay. Texts are judged by all
+    their windows, however long. Other columns, whatever their names, are not read. An
+    empty table gives no rows.
     """
     found = identifier(docs.sparkSession, train(docs, bound))(F.col("text").cast("string"))
     return docs.select(F.col("doc_id").cast("long"), found.alias("found")).select("doc_id", "found.lang", "found.confidence")

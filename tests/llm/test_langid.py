@@ -32,6 +32,19 @@ def test_held_out_accuracy_and_brute_force(spark):
         assert f.f.lang == lang and abs(f.f.confidence - sure) < 1e-4
 
 
+def test_every_window_may_be_fitted_on(spark):
+    texts = [(k, "".join(f"{k:02d}-{j:04d};" for j in range(32 * n)), "en") for k, n in enumerate([1, 2, 300, 40])]
+    frame = spark.createDataFrame(texts, "id long, text string, lang string")
+    got = L.sampled(frame, 60).collect()
+    whole = {i: [bytes(w) for w in L.windows(t.encode())] for i, t, _ in texts}
+    assert all(bytes(r.x) in whole[r.id] for r in got) and len(set(map(tuple, got))) == len(got) == 60
+    n = {i: sum(r.id == i for r in got) for i in range(4)}
+    assert n[0] == 1 and n[1] == 2 and abs(n[2] - n[3]) <= 1
+    places = [whole[2].index(bytes(r.x)) for r in got if r.id == 2]
+    assert max(places) > 200 > 100 > min(places)
+    assert sorted(L.sampled(frame, 10**6).collect()) == sorted((i, bytearray(w), "en") for i in whole for w in whole[i])
+
+
 def test_odd_rows(spark):
     rows = [(k, "the thing that there is " * 3, "en", "a", 1) for k in range(30)] + [(100 + k, "über größe können wäre ", "de", "a", 1) for k in range(30)]
     rows += [(200, None, "en", "a", 1), (201, "", "en", "a", 1), (None, "the thing is there", None, "a", 1), (202, "the thing " * 200_000, None, "a", 1), rows[3]]
