@@ -112,9 +112,9 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least_texts:
     """Adagrad on each text's worst window; ``texts`` are the buckets of their terms and their half windows.
 
     Terms have weights if they occur in ``least_texts`` texts at least and if the toxic
-    among these are ``deviation`` standard deviations from what chance gives. Texts that
-    share their least eight buckets are copies and count once. With no rows or one
-    class, all texts get that class's smoothed share.
+    among these are ``deviation`` standard deviations from what chance gives. Texts with
+    the same label and exactly the same terms are copies and count once. With no rows or
+    one class, all texts get that class's smoothed share.
     """
     share = (float(np.sum(y)) + 1) / (len(y) + 2)
     bias = float(np.log(share / (1 - share)))
@@ -122,7 +122,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least_texts:
     kept: dict[tuple, int] = {}
     for k, (t, _) in enumerate(texts):
         if len(t):
-            kept.setdefault((*np.unique(t)[:8].tolist(), bool(y[k])), k)
+            kept.setdefault((xxhash.xxh3_128_digest(np.unique(t).astype("<u4").tobytes()), bool(y[k])), k)
     texts, y = [texts[k] for k in kept.values()], np.asarray(y, bool)[list(kept.values())]
     if not len(y) or y.min() == y.max():
         return none
@@ -228,9 +228,11 @@ def scorer(spark: SparkSession, machine: Machine) -> Callable[[Column], Column]:
 def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bound: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, toxicity) of the rows of ``docs`` whose toxicity reaches ``threshold``.
 
-    A null text is not reported; a text without words has the base rate. Rows are judged
-    one by one, so repeated rows are reported alike and a null id stays null. Other
-    columns are not read.
+    A null text is not reported; a text without words has the base rate. Every window of a
+    text is scored, however long it is. Rows are judged one by one, so repeated rows are
+    reported alike and a null id stays null. A toxicity that equals ``threshold`` is
+    reported. Other columns, whatever their names, are not read. An empty ``docs`` gives no
+    rows; without labels every text has the toxicity 0.5.
     """
     toxicity = scorer(docs.sparkSession, train(docs, labels, bound))
     return docs.select("doc_id", toxicity(F.col("text")).alias("toxicity")).where(F.col("toxicity") >= threshold)
