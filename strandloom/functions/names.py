@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 #: Escapes nothing that a name or path has, so that a backslash is an ordinary character.
 _ESCAPE = "\x01"
-_DEEPEST = 8
+#: Brackets within brackets that plain patterns take away; deeper ones are read sign by sign.
+_PASSES = 4
 
 
 def fold(value: Column | str) -> Column:
@@ -40,12 +41,25 @@ def short_name(fqname: Column | str) -> Column:
     return F.when(F.instr(tail, ".") > 0, F.substr(tail, F.instr(tail, ".") + 1)).otherwise(tail)
 
 
+def _signs_outside(name: Column) -> Column:
+    """The characters outside all brackets, read from left to right."""
+
+    def step(state: Column, sign: Column) -> Column:
+        depth = state["depth"] + F.when(sign == "[", 1).when((sign == "]") & (state["depth"] > 0), -1).otherwise(0)
+        kept = F.when((depth > 0) | sign.isin("[", "]"), state["kept"]).otherwise(F.concat(state["kept"], sign))
+        return F.struct(depth.alias("depth"), kept.alias("kept"))
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+    return F.aggregate(F.split(name, ""), begin, step, lambda state: state["kept"])
+
+
 def strip_generics(name: Column | str) -> Column:
     """Without bracketed text, brackets in brackets too; an open bracket takes the rest with it."""
-    out = F.col(name) if isinstance(name, str) else name
-    for _ in range(_DEEPEST):
+    whole = out = F.col(name) if isinstance(name, str) else name
+    for _ in range(_PASSES):
         out = F.regexp_replace(out, r"\[[^\[\]]*\]", "")
-    return F.replace(F.regexp_replace(out, r"(?s)\[.*$", ""), F.lit("]"), F.lit(""))
+    simple = F.replace(F.regexp_replace(out, r"(?s)\[.*$", ""), F.lit("]"), F.lit(""))
+    return F.when(F.regexp_like(out, F.lit(r"(?s)\[.*\]")), _signs_outside(whole)).otherwise(simple)
 
 
 def plain_generics(name: str) -> str:

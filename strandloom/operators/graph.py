@@ -24,20 +24,27 @@ def _targets(index: Index, symbol: str | DataFrame) -> DataFrame:
     return index.calls.sparkSession.createDataFrame([(symbol,)], "node string") if isinstance(symbol, str) else symbol.toDF("node")
 
 
-def _into(index: Index, nodes: DataFrame, pkg: str = "", exclude_tests: bool = False) -> DataFrame:
-    """Call rows into the nodes; few nodes are broadcast by their measured size."""
-    rows = index.calls.where(every(N.begins("package_path", pkg) if pkg else None, ~N.is_test_file("file_path") if exclude_tests else None))
-    return rows.join(nodes, rows["to_fqname"] == nodes["node"], "left_semi")
+def _named(rows: DataFrame, column: str, symbol: str | DataFrame) -> DataFrame:
+    """Rows whose column is the symbol, which the scan can look for, or one of several; few are broadcast by their measured size."""
+    if isinstance(symbol, str):
+        return rows.where(F.col(column) == symbol)
+    nodes = symbol.toDF("node")
+    return rows.join(nodes, rows[column] == nodes["node"], "left_semi")
+
+
+def _into(index: Index, symbol: str | DataFrame, pkg: str = "", exclude_tests: bool = False) -> DataFrame:
+    """Call rows into the symbols."""
+    return _named(index.calls.where(every(N.begins("package_path", pkg) if pkg else None, ~N.is_test_file("file_path") if exclude_tests else None)), "to_fqname", symbol)
 
 
 def direct_callers(index: Index, targets: str | DataFrame, pkg: str = "", limit: int = 200) -> DataFrame:
     """Calls of the targets, references first."""
-    rows = _into(index, _targets(index, targets), pkg).select(*EDGE)
+    rows = _into(index, targets, pkg).select(*EDGE)
     return _limited(rows.orderBy(F.desc("kind"), "from_fqname", "file_path", "line", "to_fqname", "col"), limit)
 
 
 def count_callers(index: Index, symbol: str | DataFrame) -> DataFrame:
-    return _into(index, _targets(index, symbol)).agg(F.count(F.lit(1)).alias("n"))
+    return _into(index, symbol).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fuzzy_targets(index: Index, text: str) -> DataFrame:
@@ -53,14 +60,14 @@ def callers(index: Index, symbol: str | DataFrame, depth: int = 1, limit: int =
     calls stands for the called names that contain it.
     """
     scratch = Scratch(index.calls.sparkSession, "callers")
-    front = _targets(index, symbol)
+    front, first = _targets(index, symbol), symbol
     if fuzzy and isinstance(symbol, str) and index.calls.where(F.col("to_fqname") == symbol).isEmpty():
-        front = front.unionByName(fuzzy_targets(index, symbol).toDF("node"))
+        front = first = front.unionByName(fuzzy_targets(index, symbol).toDF("node"))
     if clamp(depth) > 1:
         front = scratch.keep("seed", front)
     visited, found = front, None
     for d in range(1, clamp(depth) + 1):
-        hop = scratch.keep(f"hop{d}", direct_callers(index, front, pkg, limit).withColumn("depth", F.lit(d)))
+        hop = scratch.keep(f"hop{d}", direct_callers(index, first if d == 1 else front, pkg, limit).withColumn("depth", F.lit(d)))
         found = hop if found is None else found.unionByName(hop)
         if d == clamp(depth):
             break
@@ -80,9 +87,9 @@ def reverse_closure(index: Index, symbol: str | DataFrame, depth: int = 3, pkg:
     in the shared folder, so that plans stay short.
     """
     scratch = Scratch(index.calls.sparkSession, "closure")
-    front = _targets(index, symbol)
+    front = symbol
     if fuzzy and isinstance(symbol, str):
-        front = front.unionByName(fuzzy_targets(index, symbol).toDF("node"))
+        front = _targets(index, symbol).unionByName(fuzzy_targets(index, symbol).toDF("node"))
     reached = None
     for d in range(1, clamp(depth) + 1):
         step = _into(index, front, pkg, exclude_tests).select(F.col("from_fqname").alias("node")).distinct()
@@ -98,14 +105,19 @@ def reverse_closure(index: Index, symbol: str | DataFrame, depth: int = 3, pkg:
 
 def located(index: Index, closure: DataFrame) -> DataFrame:
     """A closure with each caller's place; the first place where a name is declared more than once."""
-    place = index.symbols.groupBy("fqname").agg(F.min(F.struct("file_path", "line", "package_path")).alias("at"))
+    # Only the places of the callers are looked for and compared.
+    own = index.symbols.select("fqname", "file_path", "line", "package_path").join(closure.select(F.col("caller").alias("fqname")), "fqname", "left_semi")
+    place = own.groupBy("fqname").agg(F.min(F.struct("file_path", "line", "package_path")).alias("at"))
     return closure.join(place, closure["caller"] == place["fqname"], "left").select(
         "caller", "depth", F.coalesce("at.file_path", F.lit("")).alias("file_path"), F.coalesce("at.line", F.lit(0)).alias("line"), F.coalesce("at.package_path", F.lit("")).alias("package_path")
     )
 
 
 def blast_radius(index: Index, symbol: str | DataFrame, depth: int = 3, limit: int = 500, **filters) -> DataFrame:
-    return _limited(located(index, reverse_closure(index, symbol, depth, **filters)).orderBy("depth", "caller"), limit)
+    """The first ``limit`` of the closure by depth and name, located after they are chosen."""
+    scratch = Scratch(index.calls.sparkSession, "radius")
+    first = scratch.keep("first", _limited(reverse_closure(index, symbol, depth, **filters).orderBy("depth", "caller"), limit))
+    return located(index, first).orderBy("depth", "caller")
 
 
 def blast_summary(rows: DataFrame, limit: int = 500) -> DataFrame:
@@ -121,13 +133,16 @@ def _out_of(index: Index, symbol: str | DataFrame, fuzzy: bool, pkg: str) -> Dat
     rows = index.calls.where(N.begins("to_fqname", pkg)) if pkg else index.calls
     if fuzzy and isinstance(symbol, str):
         return rows.where((F.col("from_fqname") == symbol) | N.has("from_fqname", symbol))
-    nodes = _targets(index, symbol)
-    return rows.join(nodes, rows["from_fqname"] == nodes["node"], "left_semi")
+    return _named(rows, "from_fqname", symbol)
 
 
 def callees(index: Index, symbol: str | DataFrame, fuzzy: bool = False, pkg: str = "", unique: bool = False, limit: int = 200) -> DataFrame:
     """Calls out of the symbol with the callee's package; a callee declared more than once gives a row for each."""
-    rows = _out_of(index, symbol, fuzzy, pkg).alias("c").join(index.symbols.select("fqname", F.col("package_path").alias("pkg")), F.col("c.to_fqname") == F.col("fqname"), "left")
+    edges = _out_of(index, symbol, fuzzy, pkg)
+    edges = edges.select("to_fqname", "kind").distinct() if unique else edges.select("to_fqname", "file_path", "line", "col", "kind")
+    # Of the symbols, only those that are called here go on.
+    places = index.symbols.select("fqname", F.col("package_path").alias("pkg")).join(edges.select(F.col("to_fqname").alias("fqname")), "fqname", "left_semi")
+    rows = edges.join(places, F.col("to_fqname") == F.col("fqname"), "left")
     package = F.coalesce("pkg", F.lit("")).alias("callee_package")
     if unique:
         return _limited(rows.select("to_fqname", "kind", package).distinct().orderBy("to_fqname", "kind", "callee_package"), limit)
@@ -146,8 +161,7 @@ def unresolved_callers(index: Index, expr: str, fuzzy: bool = False, limit: int
 
 
 def unresolved_callees(index: Index, symbol: str | DataFrame, unique: bool = False, limit: int = 200) -> DataFrame:
-    nodes = _targets(index, symbol)
-    rows = index.unresolved_calls.join(nodes, F.col("from_fqname") == F.col("node"), "left_semi")
+    rows = _named(index.unresolved_calls, "from_fqname", symbol)
     if unique:
         return _limited(rows.select("expr").distinct().orderBy("expr"), limit)
     return _limited(rows.select("expr", "file_path", "line", "col").orderBy("expr", "file_path", "line", "col"), limit)
@@ -173,7 +187,7 @@ def dead_symbols(index: Index, limit: int = 200, **options) -> DataFrame:
 def matching_references(index: Index, symbol: str | DataFrame, pkg: str = "", ref_kind: str = "", origin: str = "") -> DataFrame:
     allowed(ref_kind, S.REF_KINDS, "ref-kind")
     rows = index.type_refs.where(every(N.begins("package_path", pkg) if pkg else None, F.col("ref_kind") == ref_kind if ref_kind else None, N.has("from_fqname", origin) if origin else None))
-    return rows.join(_targets(index, symbol), F.col("to_fqname") == F.col("node"), "left_semi")
+    return _named(rows, "to_fqname", symbol)
 
 
 def references(index: Index, symbol: str | DataFrame, limit: int = 200, **options: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandloom.functions import names as N
 from strandloom.sources.catalog import Index
@@ -49,14 +50,17 @@ def has_file_tracking(index: Index) -> bool:
 
 
 def run_statistics(runs: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean, population deviation, upper median, nearest-rank 95th percentile, least and largest value of each group."""
-    sorted_ = F.sort_array(F.collect_list(value))
-    return (
-        runs.where(F.col(value).isNotNull())
-        .groupBy(group)
-        .agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"), sorted_.alias("v"), F.min(value).alias("least"), F.max(value).alias("largest"))
-        .select(group, "n", "mean", "stddev", F.get("v", F.floor(F.col("n") / 2).cast("int")).alias("median"), F.get("v", (F.ceil(F.col("n") * 0.95) - 1).cast("int")).alias("p95"), "least", "largest")
-    )
+    """Mean, population deviation, upper median, nearest-rank 95th percentile, least and largest value of each group.
+
+    Equal values are counted before they meet, so a group is ordered by its distinct values.
+    """
+    rows = runs.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    moments = rows.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), F.min("v").alias("least"), F.max("v").alias("largest"))
+    counted = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy("v")))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+    ranked = upto.join(moments, "g").groupBy("g").agg(at(F.floor(F.col("n") / 2)).alias("median"), at(F.ceil(F.col("n") * 0.95) - 1).alias("p95"))
+    return moments.join(ranked, "g").select(F.col("g").alias(group), "n", "mean", "stddev", "median", "p95", "least", "largest")
 
 
 def short_names(index: Index) -> DataFrame:

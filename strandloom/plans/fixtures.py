@@ -11,7 +11,9 @@ from strandloom.operators import satisfy
 from strandloom.sources.catalog import Index, conform
 from strandloom.sources.scratch import Scratch
 
-EDGE_DISCOUNT, OFFER_DISCOUNT, LEAST_METHODS = 0.065, 0.095, 3
+EDGE_DISCOUNT, LEAST_METHODS = 0.065, 3
+#: Types are groups of suppliers; one offers a brand's method where these make a small rest.
+TYPES = 40
 
 _KIND = {"ECONOMY": "func", "SMALL": "method", "STANDARD": "type", "MEDIUM": "interface", "LARGE": "var"}
 _REF = {1: "type_assert", 2: "type_switch", 3: "composite_lit", 4: "conversion", 5: "field_access"}
@@ -64,8 +66,12 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     unresolved = events.where("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id", F.col("props").alias("expr"), (F.col("event_id") % 97).cast("int").alias("line"))
     unresolved = unresolved.join(source, F.col("user_id") == F.col("l_partkey")).withColumn("reason", F.lit("unresolved"))
     brands = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("method_name"))
-    required = lineitem.where("l_orderkey < 300").join(brands, "l_partkey").select(F.concat(F.lit("ex.com/i.Face"), text("l_orderkey")).alias("iface_fqname"), "method_name").distinct()
-    offered = lineitem.where(F.col("l_discount") >= OFFER_DISCOUNT).join(brands, "l_partkey").select(F.concat(F.lit("ex.com/t.Type"), text("l_suppkey")).alias("impl_fqname"), "method_name").distinct()
+    # Every order is an interface that requires the brands of its lines.
+    bought = lineitem.join(brands, "l_partkey")
+    required = bought.select(F.concat(F.lit("ex.com/i.Face"), text("l_orderkey")).alias("iface_fqname"), "method_name").distinct()
+    kind = F.col("l_suppkey") % TYPES
+    offers = (kind * 7 + F.substr("method_name", F.lit(7)).cast("int") * 3) % 10 < 5
+    offered = bought.where(offers).select(F.concat(F.lit("ex.com/t.Type"), kind.cast("string")).alias("impl_fqname"), "method_name").distinct()
     pairs = satisfy.divide(required, offered, "iface_fqname", "impl_fqname", "method_name", LEAST_METHODS)
     root = F.lit("/m0").alias("module_root")
     return {
@@ -75,7 +81,7 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "unresolved_calls": unresolved,
         "iface_methods": required.select("*", root),
         "implements": pairs.withColumn("is_pointer", F.length("impl_fqname") % 2 == 0).select("*", root),
-        "impl_methods": symbols.where("kind = 'method' AND id % 3 = 0").select("module_root", F.col("fqname").alias("impl_fqname")),
+        "impl_methods": symbols.where("kind = 'method' AND line > 33").select("module_root", F.col("fqname").alias("impl_fqname")),
         "package_meta": symbols.select("module_root", "package_path").distinct(),
         "package_files": documents.select(root, F.col("source").alias("package_path"), text("doc_id").alias("file_path"), F.md5("text").alias("file_hash")),
         "index_meta": spark.createDataFrame([(1, "0.1", "1.22", "/r", 0, "aaa"), (2, "0.2", "1.22", "/r", 3, "bbb")], "id long, tool_version string, go_version string, root string, warnings int, indexed_commit string"),
@@ -127,21 +133,23 @@ VIEWS = {
         JOIN symbols f ON f.id = l.fk JOIN symbols t ON t.id = l.tk WHERE t.kind IN ('type', 'interface')""",
     "unresolved_calls": """SELECT e.event_id AS id, s.fqname AS from_fqname, e.props AS expr, s.file_path, CAST(e.event_id % 97 AS INTEGER) AS line, 0 AS col
         FROM events e JOIN symbols s ON s.id = e.user_id WHERE e.event_type = 'error'""",
-    "iface_methods": "SELECT DISTINCT concat('ex.com/i.Face', l_orderkey) AS iface_fqname, p_brand AS method_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 300",
-    "type_methods": f"SELECT DISTINCT concat('ex.com/t.Type', l_suppkey) AS impl_fqname, p_brand AS method_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount >= {OFFER_DISCOUNT}",
+    "iface_methods": "SELECT DISTINCT concat('ex.com/i.Face', l_orderkey) AS iface_fqname, p_brand AS method_name FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "type_methods": f"""SELECT DISTINCT concat('ex.com/t.Type', l_suppkey % {TYPES}) AS impl_fqname, p_brand AS method_name FROM lineitem JOIN part ON l_partkey = p_partkey
+        WHERE (l_suppkey % {TYPES} * 7 + CAST(substr(p_brand, 7) AS INTEGER) * 3) % 10 < 5""",
     "implements": f"""SELECT k.iface_fqname, k.impl_fqname, length(k.impl_fqname) % 2 = 0 AS is_pointer
         FROM (SELECT i.iface_fqname, t.impl_fqname, count(*) AS c FROM iface_methods i JOIN type_methods t ON i.method_name = t.method_name GROUP BY ALL) k
         JOIN (SELECT iface_fqname, count(*) AS n FROM iface_methods GROUP BY ALL) n ON n.iface_fqname = k.iface_fqname WHERE k.c = n.n AND n.n >= {LEAST_METHODS}""",
-    "impl_methods": "SELECT module_root, fqname AS impl_fqname FROM symbols WHERE kind = 'method' AND id % 3 = 0",
+    "impl_methods": "SELECT module_root, fqname AS impl_fqname FROM symbols WHERE kind = 'method' AND line > 33",
     "package_files": "SELECT '/m0' AS module_root, source AS package_path, CAST(doc_id AS VARCHAR) AS file_path, md5(text) AS file_hash FROM documents",
     "seed": "SELECT to_fqname AS node FROM calls GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1",
+    "first": "SELECT * FROM calls WHERE to_fqname IN (SELECT node FROM seed) ORDER BY kind DESC, from_fqname, file_path, line, to_fqname, col LIMIT 20",
     "caller_seed": "SELECT from_fqname AS node FROM calls GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1",
     "ref_seed": "SELECT to_fqname AS node FROM type_refs GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1",
 }
 
 _NEEDS = {
     "symbols": (), "calls": ("symbols",), "type_refs": ("symbols",), "unresolved_calls": ("symbols",), "iface_methods": (), "type_methods": (), "implements": ("iface_methods", "type_methods"),
-    "impl_methods": ("symbols",), "package_files": (), "seed": ("calls",), "caller_seed": ("calls",), "ref_seed": ("type_refs",),
+    "impl_methods": ("symbols",), "package_files": (), "seed": ("calls",), "first": ("seed",), "caller_seed": ("calls",), "ref_seed": ("type_refs",),
 }
 
 

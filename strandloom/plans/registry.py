@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from strandloom.functions import names as N
 from strandloom.operators import freshness, graph, inventory, lookup, satisfy
 from strandloom.plans.fixtures import open_index, with_views
-from strandloom.sources.catalog import Index, added, merged
+from strandloom.sources.catalog import Catalog, Index, added, merged
+from strandloom.sources.scratch import Scratch
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -176,9 +177,9 @@ def direct_callers(ix):
     return graph.direct_callers(ix, seed(ix))
 
 
-@register(f"SELECT {EDGE} FROM calls WHERE to_fqname IN (SELECT fqname FROM symbols WHERE id % 50 = 7) AND starts_with(package_path, 'ex.com/m2') ORDER BY kind DESC, from_fqname, file_path, line, to_fqname LIMIT 40", "calls")
+@register(f"SELECT {EDGE} FROM calls WHERE to_fqname IN (SELECT fqname FROM symbols WHERE kind = 'method' AND exported) AND starts_with(package_path, 'ex.com/m2') ORDER BY kind DESC, from_fqname, file_path, line, to_fqname LIMIT 40", "calls")
 def direct_callers_multi(ix):
-    return graph.direct_callers(ix, ix.symbols.where("id % 50 = 7").select("fqname"), pkg="ex.com/m2", limit=40)
+    return graph.direct_callers(ix, ix.symbols.where("kind = 'method' AND exported").select("fqname"), pkg="ex.com/m2", limit=40)
 
 
 @register(f"SELECT count(*) AS n {INTO_SEED}", "seed")
@@ -273,6 +274,15 @@ CALLERS = """SELECT c.from_fqname, c.to_fqname, c.file_path, c.line, c.col, c.ki
     FROM calls c JOIN (SELECT caller, min(depth) AS depth FROM (SELECT caller, depth FROM walk UNION ALL SELECT node, 0 FROM seed) GROUP BY caller) r ON c.to_fqname = r.caller WHERE r.depth < 3"""
 
 
+@register(
+    """SELECT from_fqname, to_fqname, file_path, line, col, kind, depth, split_part(from_fqname, '.', 3) AS name FROM (
+        SELECT c.*, 1 AS depth FROM first c UNION ALL (SELECT c.*, 2 AS depth FROM calls c WHERE to_fqname IN (SELECT from_fqname FROM first EXCEPT SELECT node FROM seed) ORDER BY kind DESC, from_fqname, file_path, line, to_fqname, col LIMIT 20))""",
+    "first",
+)
+def callers_bfs_limited(ix):
+    return graph.callers(ix, seed(ix), depth=2, limit=20)
+
+
 @register(CALLERS, "seed", recursive=_hops(3))
 def callers_bfs_depth3(ix):
     return graph.callers(ix, seed(ix), depth=3, limit=-1)
@@ -396,12 +406,16 @@ def insert_or_ignore_modules(ix):
 
 @register("SELECT fqname FROM symbols WHERE module_root <> '/m2'", "symbols")
 def purge_module(ix):
-    return ix.symbols.where("module_root <> '/m2'").select("fqname")
+    spark = ix.symbols.sparkSession
+    catalog = Catalog(spark, Scratch(spark, "purge").root)
+    catalog.replace({"symbols": ix.symbols})
+    catalog.purge_module("/m2")
+    return catalog.read("symbols").select("fqname")
 
 
-@register("SELECT DISTINCT '/m0' AS module_root, package_path FROM package_files WHERE CAST(file_path AS BIGINT) % 211 = 5", "package_files")
+@register("SELECT DISTINCT '/m0' AS module_root, package_path FROM package_files WHERE starts_with(file_hash, '00')", "package_files")
 def stale_packages(ix):
-    changed = F.col("file_path").cast("long") % 211 == 5
+    changed = F.startswith("file_hash", F.lit("00"))
     now = ix.package_files.withColumn("file_hash", F.when(changed, F.lit("other")).otherwise(F.col("file_hash")))
     return freshness.stale_packages(ix.package_files, now)
 
@@ -415,9 +429,13 @@ def touched_packages(ix):
     return freshness.touched_packages(dirs.withColumn("dir", F.col("package_path")), changed.unionByName(below)).select("package_path")
 
 
-@register()
+@register(
+    """SELECT module_root, package_path, lower(lpad(to_hex(CAST(bit_xor(h) AS UBIGINT)), 16, '0')) AS files_hash FROM (
+        SELECT module_root, package_path, CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, length(file_hash) + 1), lambda i: ascii(file_hash[i])::UHUGEINT)),
+          lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS UBIGINT) AS h FROM package_files) GROUP BY ALL""",
+    "package_files",
+)
 def package_xor_hash(ix):
-    """Rows only: the other engine has no such hash."""
     files = ix.package_files.select("module_root", "package_path", F.col("file_hash").alias("content"))
     return freshness.package_hashes(freshness.hashed_files(files))
 

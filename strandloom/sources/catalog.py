@@ -1,13 +1,20 @@
-"""The index as Parquet tables below one folder: reading, replacing, merging and purging."""
+"""The index as Parquet tables below one folder: reading, replacing, merging and purging.
+
+A manifest names the files of each module in each table. A change writes new files beside
+the old ones and then the next manifest, so that it shows in all tables at once or, if the
+writer is lost, not at all. Readers keep to the manifest they began with. There is one
+writer at a time.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -35,9 +42,16 @@ _DEFAULTS = {T.StringType(): "", T.IntegerType(): 0, T.LongType(): 0, T.BooleanT
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """The table's columns and types; a column that is missing, as in an older layout, gets its default."""
+    """The table's columns and types; nulls, and a column that is missing as in an older layout, get the default."""
     have = set(df.columns)
-    return df.select(*((F.col(f.name) if f.name in have else F.lit(_DEFAULTS.get(f.dataType))).cast(f.dataType).alias(f.name) for f in S.SCHEMAS[table].fields))
+
+    def column(f: T.StructField) -> Column:
+        default = F.lit(_DEFAULTS.get(f.dataType)).cast(f.dataType)
+        if f.name not in have:
+            return default
+        return F.col(f.name).cast(f.dataType) if f.dataType not in _DEFAULTS else F.coalesce(F.col(f.name).cast(f.dataType), default)
+
+    return df.select(*(column(f).alias(f.name) for f in S.SCHEMAS[table].fields))
 
 
 def last_wins(df: DataFrame, keys: Iterable[str], order: str) -> DataFrame:
@@ -62,53 +76,105 @@ def added(old: DataFrame, new: DataFrame, keys: Iterable[str]) -> DataFrame:
 
 
 class Catalog:
-    """Tables are partitioned by module_root, so a module is replaced or dropped without touching others."""
+    """Files belong to one module each, so a module is replaced or dropped without touching others."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._fs_path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._fs_path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def location(self, table: str) -> str:
-        return f"{self.path}/{table}"
+    def _names(self, folder: str) -> list[str]:
+        path = self._fs_path(f"{self.path}/{folder}")
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def _manifests(self) -> list[str]:
+        return [n for n in self._names("_manifest") if n.endswith(".json")]
+
+    def _load(self, name: str) -> dict:
+        stream = self._fs.open(self._fs_path(f"{self.path}/_manifest/{name}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _manifest(self) -> dict:
+        """{"version": n, "tables": {table: {module: {"columns": [...], "paths": [...]}}}}"""
+        names = self._manifests()
+        return self._load(names[-1]) if names else {"version": 0, "tables": {}}
+
+    def _commit(self, change: Callable[[dict], None]) -> None:
+        """Writes the next manifest under another name and gives it its own in one step."""
+        names, manifest = self._manifests(), self._manifest()
+        change(manifest)
+        number = int(names[-1].split(".")[0]) + 1 if names else 1
+        draft = self._fs_path(f"{self.path}/_manifest/.draft-{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        target = self._fs_path(f"{self.path}/_manifest/{number:012d}.json")
+        if self._fs.exists(target) or not self._fs.rename(draft, target):
+            raise RuntimeError(f"another writer changed {self.path}")
 
     def exists(self, table: str) -> bool:
-        return self._fs.exists(self._fs_path(self.location(table)))
+        return table in self._manifest()["tables"]
 
     def read(self, table: str) -> DataFrame:
         """An absent table is empty."""
-        if not self.exists(table):
-            return self.spark.createDataFrame([], S.SCHEMAS[table])
-        df = self.spark.read.schema(S.SCHEMAS[table]).parquet(self.location(table))
-        # Columns that files of an older layout lack are read as null.
-        return df.select(*(F.coalesce(c, F.lit(_DEFAULTS[f.dataType])).alias(f.name) if f.dataType in _DEFAULTS and f.name not in S.KEYS.get(table, ()) else c for f in S.SCHEMAS[table] for c in [F.col(f.name)]))
+        return self._read(table, self._manifest())
+
+    def _read(self, table: str, manifest: dict) -> DataFrame:
+        schema, found = S.SCHEMAS[table], {}
+        for entry in manifest["tables"].get(table, {}).values():
+            found.setdefault(tuple(entry["columns"]), []).extend(f"{self.path}/{p}" for p in entry["paths"])
+        out = None
+        for columns, paths in found.items():
+            own = T.StructType([f for f in schema.fields if f.name in columns])
+            # Columns come as they are stored, so that filters on them reach the files.
+            df = self.spark.read.schema(own).parquet(*paths)
+            df = df if own == schema else conform(df, table)
+            out = df if out is None else out.unionByName(df)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     def index(self) -> Index:
-        return Index(**{name: self.read(name) for name in Index.__dataclass_fields__})
-
-    def replace(self, tables: Mapping[str, DataFrame]) -> None:
-        """Replaces the modules that the tables have rows of; each table is staged whole before the first is swapped."""
-        staged = {}
+        """All tables as one manifest has them."""
+        manifest = self._manifest()
+        return Index(**{name: self._read(name, manifest) for name in Index.__dataclass_fields__})
+
+    def _write(self, folder: str, table: str, rows: DataFrame) -> dict[str, dict]:
+        """Writes rows by module; the manifest's entries of those that have any."""
+        where, by = f"{folder}/{table}", S.SORTED_BY.get(table)
+        names = rows.columns
+        if "module_root" not in names:
+            rows.write.parquet(f"{self.path}/{where}")
+            return {"": {"columns": names, "paths": [where]}}
+        if by:
+            rows = rows.repartitionByRange(F.col("module_root"), F.col(by)).sortWithinPartitions("module_root", by)
+        rows.withColumn("__m", F.md5("module_root")).write.partitionBy("__m").parquet(f"{self.path}/{where}")
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{where}")
+        roots = {hashlib.md5(r.module_root.encode()).hexdigest(): r.module_root for r in written.select("module_root").distinct().toLocalIterator()}
+        return {roots[n[4:]]: {"columns": names, "paths": [f"{where}/{n}"]} for n in self._names(where) if n.startswith("__m=")}
+
+    def replace(self, tables: Mapping[str, DataFrame], modules: Iterable[str] | None = None) -> None:
+        """Replaces whole modules in the given tables, all of them at once.
+
+        ``modules`` are left with just the rows that the tables now have of them, maybe
+        none; where it isn't given, these are all modules of which any table has rows.
+        """
+        folder, new = f"data/{uuid.uuid4().hex}", {}
         for name, df in tables.items():
             rows = conform(df, name)
-            if name in S.KEYS:
-                rows = rows.dropDuplicates(list(S.KEYS[name]))
-            stage = f"{self.path}/_staging/{uuid.uuid4().hex}"
-            rows.write.parquet(stage)
-            staged[name] = stage
-        for name, stage in staged.items():
-            self._write(name, self.spark.read.schema(S.SCHEMAS[name]).parquet(stage))
-        for stage in staged.values():
-            self._fs.delete(self._fs_path(stage), True)
-
-    def _write(self, table: str, rows: DataFrame) -> None:
-        by = S.SORTED_BY.get(table)
-        if "module_root" in rows.columns and table != "modules":
-            rows = rows.repartitionByRange(F.col("module_root"), F.col(by)).sortWithinPartitions("module_root", by) if by else rows
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("module_root").parquet(self.location(table))
-        else:
-            rows.write.mode("overwrite").parquet(self.location(table))
+            new[name] = self._write(folder, name, rows.dropDuplicates(list(S.KEYS[name])) if name in S.KEYS else rows)
+        replaced = {m for found in new.values() for m in found} | set(modules or ())
+
+        def change(manifest: dict) -> None:
+            for name, found in new.items():
+                own = manifest["tables"].setdefault(name, {})
+                for root in replaced:
+                    own.pop(root, None)
+                own.update(found)
+
+        self._commit(change)
 
     def upsert(self, table: str, rows: DataFrame) -> None:
         """Last wins by key; only the modules of ``rows`` are rewritten."""
@@ -116,42 +182,67 @@ class Catalog:
         old = self.read(table).join(rows.select("module_root").distinct(), "module_root", "left_semi")
         self.replace({table: merged(old, rows, S.KEYS[table])})
 
+    def update_files_hash(self, root: str, package: str, files_hash: str) -> None:
+        """Sets the hash of a package that is there; of one that isn't, nothing."""
+        own = self.read("package_meta").where(F.col("module_root") == root)
+        self.replace({"package_meta": own.withColumn("files_hash", F.when(F.col("package_path") == package, F.lit(files_hash)).otherwise(F.col("files_hash")))}, [root])
+
     def append(self, table: str, rows: DataFrame) -> None:
-        conform(rows, table).write.mode("append").parquet(self.location(table))
+        """Adds rows to a table that isn't kept by module."""
+        (entry,) = self._write(f"data/{uuid.uuid4().hex}", table, conform(rows, table)).values()
+
+        def change(manifest: dict) -> None:
+            manifest["tables"].setdefault(table, {}).setdefault("", {"columns": entry["columns"], "paths": []})["paths"] += entry["paths"]
+
+        self._commit(change)
+
+    def module_roots(self) -> list[str]:
+        tables = self._manifest()["tables"]
+        return sorted({m for t in ("symbols", "package_files") for m in tables.get(t, {})})
 
     def modules(self) -> DataFrame:
-        """Module roots, as the data has them."""
-        return self.read("symbols").select("module_root").unionByName(self.read("package_files").select("module_root")).distinct()
+        """Module roots, as the manifest has them."""
+        return self.spark.createDataFrame([(m,) for m in self.module_roots()], "module_root string")
 
-    def purge_module(self, root: str) -> None:
-        """Drops a module's partition in every table."""
-        from urllib.parse import quote
+    def purge_modules(self, roots: Iterable[str]) -> None:
+        """Drops modules from every table."""
+        gone = set(roots)
+
+        def change(manifest: dict) -> None:
+            for own in manifest["tables"].values():
+                for root in gone & set(own):
+                    own.pop(root)
 
-        for table in S.SCHEMAS:
-            if self.exists(table):
-                for status in self._fs.listStatus(self._fs_path(self.location(table))):
-                    name = status.getPath().getName()
-                    if name in (f"module_root={root}", f"module_root={quote(root, safe='.-_~')}"):
-                        self._fs.delete(status.getPath(), True)
+        if gone:
+            self._commit(change)
+
+    def purge_module(self, root: str) -> None:
+        self.purge_modules([root])
 
     def purge_orphans(self, discovered: DataFrame) -> list[str]:
         """Purges modules that are indexed and no longer discovered; their roots."""
         gone = [r.module_root for r in self.modules().join(discovered.select("module_root"), "module_root", "left_anti").orderBy("module_root").toLocalIterator()]
-        for root in gone:
-            self.purge_module(root)
+        self.purge_modules(gone)
         return gone
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Removes manifests but the last ``keep``, and files that none of these name."""
+        names = self._manifests()
+        for name in names[:-keep]:
+            self._fs.delete(self._fs_path(f"{self.path}/_manifest/{name}"), False)
+        used = {p.split("/")[1] for n in names[-keep:] for own in self._load(n)["tables"].values() for e in own.values() for p in e["paths"]}
+        for folder in self._names("data"):
+            if folder not in used:
+                self._fs.delete(self._fs_path(f"{self.path}/data/{folder}"), True)
+
     def version(self) -> int:
-        path = self._fs_path(f"{self.path}/_version")
-        if not self._fs.exists(path):
-            return 0
-        return int(json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/_version").collect()))["version"])
+        return self._manifest()["version"]
 
     def migrate(self) -> None:
         """Stamps the layout; older tables need no rewriting, as reading fills in missing columns."""
         if self.version() < S.VERSION:
-            self.spark.createDataFrame([(json.dumps({"version": S.VERSION}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_version")
+            self._commit(lambda manifest: manifest.update(version=S.VERSION))
 
     def reset(self) -> None:
-        self._fs.delete(self._fs_path(self.path), True)
-        self.migrate()
+        self._commit(lambda manifest: manifest.update(version=S.VERSION, tables={}))
+        self.vacuum(1)

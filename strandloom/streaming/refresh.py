@@ -23,8 +23,10 @@ def build(catalog: Catalog, root: str, only: DataFrame | None = None, tests: boo
     made = gosource.tables(found, files)
     hashes = made["package_files"]
     made["package_meta"] = freshness.package_hashes(hashes).withColumn("indexed_at", F.current_timestamp())
+    roots = gosource.discover_modules(spark, root) if only is None else only
     catalog.migrate()
-    catalog.replace(made)
+    catalog.replace(made, [r.module_root for r in roots.select("module_root").distinct().toLocalIterator()])
+    catalog.vacuum()
     return found.where("fact = 'symbol'").count()
 
 

@@ -1,11 +1,15 @@
 import random
+import re
+import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom import schema as S
+from strandloom.functions import hashing
 from strandloom.functions import names as N
 from strandloom.functions.hashing import fnv64, fnv64a, hex64
-from strandloom.operators import freshness, graph, lookup, satisfy
+from strandloom.operators import freshness, graph, inventory, lookup, satisfy
 from strandloom.sources.catalog import Catalog, Index, conform, last_wins
 
 
@@ -31,15 +35,28 @@ def test_like_folds_ascii_only(spark):
 
 
 def test_names(spark):
-    rows = [("ex.com/a/pkg.*T.M", "Box[map[string]int]"), ("plain", "a[b"), ("x.y", "q]z"), (None, None)]
+    rows = [("ex.com/a/pkg.*T.M", "Box[map[string]int]"), ("plain", "a[b"), ("x.y", "q]z"), (None, None), ("z", "A" + "[a" * 11 + "]" * 11 + "B[" + "[c]" * 3 + "]C[d[")]
     df = spark.createDataFrame(rows, "f string, g string")
     got = [tuple(r) for r in df.select(N.short_name("f"), N.strip_generics("g"), N.type_part("f"), N.method_part("f")).collect()]
     assert got[0] == ("*T.M", "Box", "ex.com/a/pkg.T", "M") and got[1][:2] == ("plain", "a") and got[2][:2] == ("y", "qz") and got[3][:2] == (None, None)
+    assert got[4][1] == "ABC" == N.plain_generics(rows[4][1])
     assert N.plain_generics("A[B[int]].C") == "A.C" and N.plain_generics("a[b") == "a"
 
 
-def test_fnv(spark):
+def test_fnv(spark, monkeypatch):
     assert [f"{x:016x}" for x in fnv64([b"", b"a", b"foobar"])] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8"]
+    rng = random.Random(1)
+    values = [rng.randbytes(n) for n in (0, 1, 63, 64, 65, 200, 1000, 5000)] + [bytes(300), b"\xff" * 300]
+
+    def plain(value):
+        h = 0xCBF29CE484222325
+        for b in value:
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h
+
+    assert fnv64(values).tolist() == [plain(v) for v in values]
+    monkeypatch.setattr(hashing, "_PIECE", 37)
+    assert fnv64(values).tolist() == [plain(v) for v in values]
     df = spark.createDataFrame([(bytearray(b"a"),), (None,)], "c binary")
     assert [r[0] for r in df.select(hex64(fnv64a("c"))).collect()] == ["af63dc4c8601ec8c", None]
 
@@ -70,6 +87,31 @@ def test_blast_radius_of_a_cycle_and_filters(spark):
     assert [(r.from_fqname, r.depth) for r in graph.callers(ix, "a", depth=9, limit=1).collect()] == [("b", 1), ("a", 2)]
 
 
+def test_symbols_are_looked_for_by_the_scan(spark, tmp_path):
+    cat = Catalog(spark, f"file://{tmp_path}/ix")
+    rows = [("p.a", "p.b", "p", "a.go", 1, "call"), ("p.b", "p.c", "p", "a.go", 1, "call")]
+    cat.replace({"calls": spark.createDataFrame(rows, CALLS).withColumn("module_root", F.lit("/m"))})
+    ix = cat.index()
+    for frame, column in ((graph.direct_callers(ix, "p.b"), "to"), (graph.count_callers(ix, "p.b"), "to"), (graph.callees(ix, "p.b"), "from"), (graph.count_callees(ix, "p.b"), "from")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"PushedFilters: \[[^\]]*EqualTo\({column}_fqname,p.b\)", plan) and frame.count()
+    pushed = lambda f: "EqualTo(" in f._jdf.queryExecution().executedPlan().toString()
+    cat.replace({t: spark.createDataFrame([], S.SCHEMAS[t]) for t in ("type_refs", "unresolved_calls")})
+    cat.replace({"type_refs": spark.createDataFrame([("/m", "p.x", "p.T")], "module_root string, from_fqname string, to_fqname string"), "unresolved_calls": spark.createDataFrame([("/m", "p.x", "e")], "module_root string, from_fqname string, expr string")})
+    ix = cat.index()
+    assert pushed(graph.references(ix, "p.T")) and pushed(graph.count_references(ix, "p.T")) and pushed(graph.unresolved_callees(ix, "p.x"))
+
+
+def test_run_statistics(spark):
+    rng = random.Random(2)
+    rows = [("a", float(rng.randrange(9))) for _ in range(41)] + [("b", 3.0), ("c", None)] + [("d", float(k)) for k in range(20)]
+    got = {r.g: r for r in inventory.run_statistics(spark.createDataFrame(rows, "g string, x double"), "g", "x").collect()}
+    assert set(got) == {"a", "b", "d"}
+    for g, r in got.items():
+        x = sorted(v for k, v in rows if k == g)
+        assert (r.n, r.median, r.p95, r.least, r.largest) == (len(x), x[len(x) // 2], x[-(-len(x) * 95 // 100) - 1], x[0], x[-1]) and abs(r.stddev - statistics.pstdev(x)) < 1e-9
+
+
 def test_self_recursion_is_not_dead(spark):
     symbols = [("p.f", "f", "func", False, "p", "a.go", 1), ("p.g", "g", "func", False, "p", "a.go", 2), ("p.main", "main", "func", False, "p", "a.go", 3), ("p.testing", "testing", "func", False, "p", "a.go", 4), ("p.E", "E", "func", True, "p", "a.go", 5), ("p.T.M", "M", "method", False, "p", "a.go", 6)]
     ix = index(spark, symbols=(symbols, SYMBOLS), calls=([("p.f", "p.f", "p", "a.go", 1, "call")], CALLS), impl_methods=([("m", "p.T.M")], "module_root string, impl_fqname string"))
@@ -119,8 +161,43 @@ def test_catalog(spark, tmp_path):
     assert cat.purge_orphans(spark.createDataFrame([("/b",)], "module_root string")) == ["/a"] and names() == ["z"]
     cat.append("index_meta", spark.createDataFrame([(1, "v")], "id long, tool_version string"))
     assert cat.index().index_meta.count() == 1 and cat.index().calls.count() == 0
+    before = cat.read("symbols")
     cat.reset()
-    assert names() == []
+    assert names() == [] and before is not None
+    assert not list((tmp_path / "ix/data").iterdir())
+
+
+def test_replacing_leaves_nothing_of_a_module(spark, tmp_path):
+    cat = Catalog(spark, f"file://{tmp_path}/ix")
+    call = lambda *roots: spark.createDataFrame([(r, "p.a", "p.b") for r in roots], "module_root string, from_fqname string, to_fqname string")
+    sym = lambda root: spark.createDataFrame([(root, "p.a", 1)], "module_root string, fqname string, id long")
+    cat.replace({"symbols": sym("/a b/ü"), "calls": call("/a b/ü", "/b")})
+    before = cat.index()
+    cat.replace({"symbols": sym("/a b/ü"), "calls": call()})
+    assert [r.module_root for r in cat.read("calls").collect()] == ["/b"]
+    # A reader keeps to the tables it began with, until they are removed.
+    assert before.calls.count() == 2 and cat.module_roots() == ["/a b/ü"]
+    cat.replace({"symbols": sym("/c"), "calls": call()}, ["/a b/ü", "/b"])
+    assert cat.read("calls").count() == 0 and cat.module_roots() == ["/c"]
+    cat.vacuum(1)
+    assert cat.read("symbols").count() == 1 and len(list((tmp_path / "ix/data").iterdir())) == 1
+
+
+def test_a_lost_writer_changes_nothing(spark, tmp_path, monkeypatch):
+    cat = Catalog(spark, f"file://{tmp_path}/ix")
+    sym = lambda n: spark.createDataFrame([("/a", n, 1)], "module_root string, fqname string, id long")
+    cat.replace({"symbols": sym("x"), "package_meta": spark.createDataFrame([("/a", "p", "h")], "module_root string, package_path string, files_hash string")})
+    with monkeypatch.context() as m:
+        m.setattr(cat, "_commit", lambda change: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            cat.replace({"symbols": sym("y")})
+    assert [r.fqname for r in cat.read("symbols").collect()] == ["x"]
+    cat.update_files_hash("/a", "p", "new")
+    cat.update_files_hash("/a", "q", "none")
+    assert [tuple(r)[1::2] for r in cat.read("package_meta").collect()] == [("p", "new")]
+    # Files of a layout without a column are read with its default.
+    cat._commit(lambda manifest: manifest["tables"]["symbols"]["/a"]["columns"].remove("line"))
+    assert cat.read("symbols").first().line == 0 and cat.read("symbols").columns == S.SCHEMAS["symbols"].names
 
 
 def test_last_wins(spark):
