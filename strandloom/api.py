@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import datetime
 import json
 import os
 import platform
-import subprocess
+import time
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from strandloom import __version__, schema
+from strandloom.functions import names
 from strandloom.operators import graph, inventory, lookup, satisfy
+from strandloom.sources import gitstate
 from strandloom.sources.catalog import Catalog
 from strandloom.streaming import refresh
 
@@ -59,12 +60,10 @@ class Session:
         """Where and when; stale packages are null where files aren't tracked."""
         stale = None
         if self.root and inventory.has_file_tracking(self.index):
-            stale = sorted(r.module_root for r in refresh.stale_modules(self.catalog, self.root).toLocalIterator())
-        out = {"ts": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), "cwd": os.getcwd(), "os": platform.system().lower(), "arch": platform.machine(), "db": self.catalog.path, "stale_modules": stale}
-        if self.git:
-            run = lambda *a: subprocess.run(["git", "-C", self.root or ".", *a], capture_output=True, text=True).stdout.strip()
-            out["git"] = {"commit": run("rev-parse", "HEAD"), "branch": run("rev-parse", "--abbrev-ref", "HEAD"), "dirty": bool(run("status", "--porcelain"))}
-        return out
+            stale = sorted({r.package_path for r in refresh.stale_packages(self.catalog, self.root).toLocalIterator()})
+        folder = gitstate.local_path(self.root) if self.root else "."
+        asked = (self.git or os.environ.get("STRANDLOOM_ENV_GIT") == "1") and folder
+        return {"ts": int(time.time()), "cwd": os.getcwd(), "os": platform.system().lower(), "arch": platform.machine(), "db": self.catalog.path, "git": gitstate.describe(folder) if asked else {"git_available": False}, "stale_packages": stale}
 
     def _answer(self, **values: Any) -> dict:
         return {k: [r.asDict(True) for r in v.collect()] if isinstance(v, DataFrame) else v for k, v in values.items() if v is not None} | {"env": self.env()}
@@ -82,6 +81,11 @@ class Session:
             return found[0], f"{name} read as {found[0]}"
         return name, f"{name} is ambiguous: {', '.join(found)}" if found else None
 
+    @staticmethod
+    def _explain(command: str, given: str, resolved: str, note: str | None, filters: dict, **more: Any) -> dict:
+        """How a command understood what it was asked; what is empty is left out."""
+        return {k: v for k, v in {"command": command, "input": given, "resolved_symbol": resolved, "resolution": note, "filters": {k: v for k, v in filters.items() if v not in ("", False)}, **more}.items() if v}
+
     def _hint(self, symbol: str) -> str | None:
         near = [r.fqname for r in lookup.similar(self.index, symbol).collect()]
         return f"similar: {', '.join(near)}" if near else f"{symbol} is not in the index"
@@ -89,13 +93,14 @@ class Session:
     def make(self, force: bool = False, tests: bool = True) -> dict:
         if force:
             self.catalog.reset()
-        symbols = refresh.build(self.catalog, _required(self.root, "root"), tests=tests)
+        try:
+            symbols, warnings = refresh.build(self.catalog, _required(self.root, "root"), tests=tests)
+        except refresh.NothingToIndex as e:
+            raise CommandError("no_packages", str(e)) from None
         self.catalog.purge_orphans(refresh.gosource.discover_modules(self.catalog.spark, self.root))
+        refresh.record_run(self.catalog, self.root, warnings)
         ix = self.index
-        last = ix.index_meta.agg({"id": "max"}).first()[0] or 0
-        row = [(last + 1, __version__, "", datetime.datetime.now(datetime.UTC), self.root, 0, "")]
-        self.catalog.append("index_meta", self.catalog.spark.createDataFrame(row, schema.SCHEMAS["index_meta"]))
-        return self._answer(indexed=True, symbols=symbols, calls=ix.calls.count(), unresolved=ix.unresolved_calls.count(), type_refs=ix.type_refs.count())
+        return self._answer(indexed=True, symbols=symbols, warnings=warnings, calls=ix.calls.count(), unresolved=ix.unresolved_calls.count(), type_refs=ix.type_refs.count())
 
     def find(self, q: str = "", pkg: str = "", kind: str = "", file: str = "", limit: int = 100, count: bool = False) -> dict:
         options = {"query": q, "pkg": pkg, "kind": kind, "file": file}
@@ -116,6 +121,7 @@ class Session:
 
     def callers(self, symbol: str, limit: int = 200, fuzzy: bool = False, pkg: str = "", include_unresolved: bool = False, depth: int = 1, is_test: bool = False, count: bool = False, explain: bool = False) -> dict:
         self._fresh()
+        given = symbol
         symbol, note = self._symbol(_required(symbol, "symbol"))
         depth = graph.clamp(depth)
         rows = [r.asDict() for r in graph.callers(self.index, symbol, depth, limit, pkg, fuzzy, is_test).collect()]
@@ -126,7 +132,7 @@ class Session:
         if not rows and not unresolved:
             through = [r.iface_fqname for r in lookup.dispatching_interfaces(self.index, symbol).collect()]
             hint = f"may be called through {', '.join(through)}" if through else self._hint(symbol)
-        plan = {"symbol": symbol, "filters": {"pkg": pkg, "is_test": is_test}, "traversal": {"direction": "callers", "depth": depth, "limit_per_depth": limit}, "notes": [note] if note else []} if explain else None
+        plan = self._explain("callers", given, symbol, note, {"pkg": pkg, "is_test": is_test, "fuzzy": fuzzy}, mode="fuzzy" if fuzzy else "exact", traversal={"direction": "callers", "depth": depth, "limit_per_depth": limit}) if explain else None
         return self._answer(callers=rows, callers_count=len(rows), depth=depth, unresolved=unresolved, unresolved_count=len(unresolved), resolved=note, hint=hint, explain=plan)
 
     def callees(self, symbol: str, limit: int = 200, fuzzy: bool = False, pkg: str = "", include_unresolved: bool = True, unique: bool = False, count: bool = False) -> dict:
@@ -140,10 +146,12 @@ class Session:
 
     def blast_radius(self, symbol: str, depth: int = 3, fuzzy: bool = False, pkg: str = "", exclude_tests: bool = False, limit: int = 500, explain: bool = False) -> dict:
         self._fresh()
+        given = symbol
         symbol, note = self._symbol(_required(symbol, "symbol"))
         rows = graph.blast_radius(self.index, symbol, depth, limit, pkg=pkg, exclude_tests=exclude_tests, fuzzy=fuzzy).collect()
         frame = self.catalog.spark.createDataFrame(rows, "caller string, depth int, file_path string, line int, package_path string")
-        plan = {"symbol": symbol, "filters": {"pkg": pkg, "exclude_tests": exclude_tests}, "traversal": {"direction": "callers", "depth": graph.clamp(depth)}, "notes": [note] if note else []} if explain else None
+        notes = ["filters hold for every call on the way"] if pkg or exclude_tests else []
+        plan = self._explain("blast-radius", given, symbol, note, {"pkg": pkg, "exclude_tests": exclude_tests, "fuzzy": fuzzy}, traversal={"direction": "callers", "depth": graph.clamp(depth), "limit": limit}, notes=notes) if explain else None
         return self._answer(target=symbol, callers=frame, summary=graph.blast_summary(frame, limit).first().asDict(), resolved=note, explain=plan)
 
     def dead(self, kind: str = "", pkg: str = "", include_exported: bool = False, limit: int = 200) -> dict:
@@ -154,11 +162,13 @@ class Session:
         total = graph.all_dead(self.index, **options).count()
         return self._answer(symbols=rows, count=len(rows), total_matched=total, truncated=total > limit >= 0, note=NOTE_DEAD)
 
-    def implementors(self, iface: str = "", type: str = "", limit: int = 200) -> dict:
+    def implementors(self, iface: str = "", type: str = "", limit: int = 200, explain: bool = False) -> dict:
         if bool(iface.strip()) == bool(type.strip()):
             raise CommandError("missing_required_flag", "give --iface or --type")
         rows = [r.asDict() for r in satisfy.implementors(self.index, iface, type, limit).collect()]
-        return self._answer(implementors=rows, count=len(rows))
+        given = iface if iface.strip() else type
+        plan = self._explain("implementors", given, "", None, {}, mode="types of an interface" if iface.strip() else "interfaces of a type", normalized_query=names.plain_generics(given), notes=["names are matched as parts, without type arguments too"]) if explain else None
+        return self._answer(implementors=rows, count=len(rows), explain=plan)
 
     def references(self, symbol: str, pkg: str = "", ref_kind: str = "", origin: str = "", limit: int = 200, count: bool = False) -> dict:
         self._known(ref_kind, schema.REF_KINDS, "ref-kind")
@@ -191,8 +201,18 @@ class Session:
             raise CommandError("invalid_flag_value", str(e)) from None
 
 
-def log_use(catalog: Catalog, command: str, options: dict) -> None:
-    """Appends a record of use to the folder that STRANDLOOM_USAGE_LOG names, if it is set."""
-    if path := os.environ.get("STRANDLOOM_USAGE_LOG"):
-        row = [(datetime.datetime.now(datetime.UTC).isoformat(), command, json.dumps(options, default=str))]
-        catalog.spark.createDataFrame(row, "ts string, command string, options string").coalesce(1).write.mode("append").json(path)
+USAGE_LOG = "STRANDLOOM_USAGE_LOG"
+
+
+def log_use(tool: str, argv: list[str], spark: SparkSession | None = None, **more: Any) -> None:
+    """Appends a line of JSON on a use to the file that STRANDLOOM_USAGE_LOG names; to a folder of files where it is a URI."""
+    path = os.environ.get(USAGE_LOG)
+    if not path:
+        return
+    record = {"ts": int(time.time()), "session_id": os.environ.get("STRANDLOOM_SESSION_ID", ""), "session_name": os.environ.get("STRANDLOOM_SESSION_NAME", ""), "tool": tool, "argv": argv, "cwd": os.getcwd(), "git_branch": gitstate.git(".", "rev-parse", "--abbrev-ref", "HEAD") or ""} | more
+    line = json.dumps(record, ensure_ascii=False, default=str)
+    if "://" in path and spark is not None:
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(path)
+    elif "://" not in path:
+        with open(path, "a", encoding="utf-8") as log:
+            log.write(line + "\n")

@@ -21,17 +21,25 @@ def package_hashes(files: DataFrame) -> DataFrame:
     return files.groupBy(*PACKAGE).agg(hex64(F.bit_xor(F.conv("file_hash", 16, -10).cast("long"))).alias("files_hash"))
 
 
-def stale_packages(stored: DataFrame, current: DataFrame) -> DataFrame:
-    """Packages of ``stored`` and ``current`` with a file that is new, gone, changed or was never hashed.
+def stale_packages(stored: DataFrame, current: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """Packages of ``stored`` and ``current`` with a file that is new, gone or changed.
 
     Both have module_root, package_path, file_path and file_hash; test files that appear
-    don't make a package stale. A full join on the file keeps both sides partitioned alike.
+    don't make a package stale. A package some of whose files have no stored hash is
+    compared as a whole with the files_hash of ``meta`` (module_root, package_path,
+    files_hash); without one it is stale. A full join on the file keeps both sides
+    partitioned alike.
     """
     old = stored.select(*PACKAGE, "file_path", F.col("file_hash").alias("old"))
     new = current.select(*PACKAGE, "file_path", F.col("file_hash").alias("new"))
     both = old.join(new, [*PACKAGE, "file_path"], "full")
-    changed = F.when(F.col("old").isNull(), ~F.col("file_path").endswith("_test.go")).otherwise(F.col("new").isNull() | (F.col("old") == "") | (F.col("old") != F.col("new")))
-    return both.groupBy(*PACKAGE).agg(F.bool_or(changed).alias("stale")).where("stale").select(*PACKAGE)
+    blank = F.col("old") == ""
+    changed = F.when(F.col("old").isNull(), ~F.col("file_path").endswith("_test.go")).otherwise(F.col("new").isNull() | ~blank & (F.col("old") != F.col("new")))
+    whole = hex64(F.bit_xor(F.when(F.col("old").isNotNull(), F.conv("new", 16, -10).cast("long"))))
+    found = both.groupBy(*PACKAGE).agg(F.bool_or(changed).alias("stale"), F.bool_or(F.coalesce(blank, F.lit(False))).alias("blank"), whole.alias("now"))
+    if meta is None:
+        return found.where("stale OR blank").select(*PACKAGE)
+    return found.join(meta.select(*PACKAGE, "files_hash"), [*PACKAGE], "left").where("stale OR blank AND (coalesce(files_hash, '') = '' OR files_hash <> now)").select(*PACKAGE)
 
 
 def touched_packages(packages: DataFrame, changed: DataFrame) -> DataFrame:

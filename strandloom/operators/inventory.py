@@ -45,6 +45,20 @@ def package_files(index: Index, module_root: str, package: str) -> DataFrame:
     return index.package_files.where((F.col("module_root") == module_root) & (F.col("package_path") == package)).select("file_path", "file_hash").orderBy("file_path")
 
 
+def indexed_commit(index: Index) -> str:
+    """The commit that the last run indexed, or ""."""
+    row = latest_meta(index).first()
+    return (row.indexed_commit if row else None) or ""
+
+
+def stored_files_hash(index: Index, module_root: str, package: str) -> DataFrame:
+    return index.package_meta.where((F.col("module_root") == module_root) & (F.col("package_path") == package)).select("files_hash")
+
+
+def package_paths(index: Index) -> DataFrame:
+    return index.package_meta.select("module_root", "package_path").distinct().orderBy("module_root", "package_path")
+
+
 def has_file_tracking(index: Index) -> bool:
     return not index.package_files.isEmpty()
 

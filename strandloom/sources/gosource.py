@@ -573,10 +573,15 @@ def discover_modules(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~hidden).select(N.dir_name("path").alias("module_root"), module.alias("module_path")).distinct()
 
 
-def read_files(spark: SparkSession, root: str, tests: bool = True) -> DataFrame:
-    """(module_root, package_path, dir, file_path, content) of the Go files of all modules below a folder."""
+def read_files(spark: SparkSession, root: str, tests: bool = True, only: list[str] | None = None) -> DataFrame:
+    """(module_root, package_path, dir, file_path, content) of the Go files of all modules below a folder, or of those in the folders ``only``."""
     modules = discover_modules(spark, root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.go").load(root)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    source = spark.read.format("binaryFile").option("pathGlobFilter", "*.go")
+    if only is None:
+        files = source.option("recursiveFileLookup", "true").load(root)
+    else:
+        files = source.load(only) if only else spark.createDataFrame([], schema)
     files = files.select("path", N.dir_name("path").alias("dir"), "content") if tests else files.where(~F.col("path").endswith("_test.go")).select("path", N.dir_name("path").alias("dir"), "content")
     # A file belongs to the innermost module above it: its ancestors meet module roots by equality.
     parts = F.split("dir", "/")

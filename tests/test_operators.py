@@ -144,6 +144,10 @@ def test_staleness(spark):
     old = spark.createDataFrame([("m", "same", "a.go", "1"), ("m", "changed", "a.go", "1"), ("m", "gone", "a.go", "1"), ("m", "blank", "a.go", ""), ("m", "tests", "a.go", "1")], ddl)
     new = spark.createDataFrame([("m", "same", "a.go", "1"), ("m", "changed", "a.go", "2"), ("m", "blank", "a.go", "1"), ("m", "tests", "a.go", "1"), ("m", "tests", "b_test.go", "9"), ("m", "fresh", "a.go", "1")], ddl)
     assert sorted(r.package_path for r in freshness.stale_packages(old, new).collect()) == ["blank", "changed", "fresh", "gone"]
+    # A package without hashes of its files is compared as a whole.
+    meta = lambda h: spark.createDataFrame([("m", "blank", h)], "module_root string, package_path string, files_hash string")
+    for h, want in (("0" * 15 + "1", ["changed", "fresh", "gone"]), ("0" * 16, ["blank", "changed", "fresh", "gone"]), ("", ["blank", "changed", "fresh", "gone"])):
+        assert sorted(r.package_path for r in freshness.stale_packages(old, new, meta(h)).collect()) == want
 
 
 def test_catalog(spark, tmp_path):

@@ -1,10 +1,12 @@
 import json
+import subprocess
 
 import pytest
 
 from strandloom import cli
-from strandloom.operators import graph
-from strandloom.sources import gosource
+from strandloom.api import CommandError, Session
+from strandloom.operators import graph, inventory
+from strandloom.sources import gitstate, gosource
 from strandloom.sources.catalog import Catalog
 from strandloom.streaming import refresh
 
@@ -51,11 +53,11 @@ def test_parser():
     assert [f[0] for f in gosource.parse("x.go", "")] == ["error"] and gosource.parse("x.go", "package p\nfunc f( {{{ \"") is not None
 
 
-def test_index_refresh_and_commands(spark, tree, capsys):
+def test_index_refresh_and_commands(spark, tree, capsys, monkeypatch):
     root, db = f"file:{tree}", f"file://{tree}/.strandloom"
     cat = Catalog(spark, db)
     assert [r.module_path for r in gosource.discover_modules(spark, root).collect()] == ["ex.com/m"]
-    assert refresh.build(cat, root) == 12
+    assert refresh.build(cat, root) == (12, 0)
     ix = cat.index()
     edges = {(r.from_fqname, r.to_fqname, r.kind) for r in ix.calls.collect()}
     a, b = "ex.com/m/alpha", "ex.com/m/beta"
@@ -83,4 +85,53 @@ def test_index_refresh_and_commands(spark, tree, capsys):
     assert run("callers", "--db", db)[1]["error"]["code"] == "missing_required_flag"
     assert run("nonsense")[1]["error"]["code"] == "unknown_command_or_flag"
     assert run("find", "--db", f"file://{tree}/none")[1]["error"]["code"] == "no_database"
-    assert set(run("agent-context")[1]) == set(cli.COMMANDS)
+    assert set(run("agent-context")[1]["commands"]) == set(cli.COMMANDS) == {t["name"] for t in run("manifest")[1]["tools"]}
+    assert run("implementors", "--db", db, "--iface", "Doer[int]", "--explain")[1]["explain"]["normalized_query"] == "Doer"
+
+    def lines(*argv):
+        assert cli.main(list(argv), spark) == 0
+        return capsys.readouterr().out.splitlines()
+
+    got = lines("blast-radius", "--db", db, "--symbol", f"{b}.Make", "--depth", "2", "--text", "--explain")
+    assert "  [depth 1]" in got and any(x.strip().startswith(f"{a}.init$var:Global") for x in got) and "    depth: 2" in got
+    (row,) = [x for x in lines("find", "--db", db, "--q", "lonely", "--text") if "lonely" in x]
+    assert row.split("\t")[:2] == [f"{a}.lonely", "func"] and row.split("\t")[-1].endswith("alpha/a.go:24:6")
+    log = tree / "uses.jsonl"
+    monkeypatch.setenv("STRANDLOOM_USAGE_LOG", str(log))
+    assert cli.main(["version", "--db", db], spark) == 0 and cli.main(["log-tool-use", "--tool", "rg", "--", "-n", "x"]) == 0
+    one, two = map(json.loads, log.read_text().splitlines())
+    assert (one["cmd"], one["exit_code"], two["tool"], two["argv"]) == ("version", 0, "rg", ["-n", "x"])
+
+
+def test_git_tells_what_is_stale(spark, tree, monkeypatch):
+    git = lambda *words: subprocess.run(["git", "-C", str(tree), "-c", "user.name=a", "-c", "user.email=a@b", *words], check=True, capture_output=True)
+    (tree / ".gitignore").write_text(".strandloom\n")
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    root = f"file:{tree}"
+    session = Session(Catalog(spark, f"file://{tree}/.strandloom"), root, git=True)
+    got = session.make()
+    assert got["warnings"] == 0 and got["env"]["stale_packages"] == [] and got["env"]["git"]["dirty_count"] == 0
+    assert inventory.indexed_commit(session.index) == gitstate.head(root) != ""
+    with monkeypatch.context() as m:
+        # A clean tree at the indexed commit: nothing is read.
+        m.setattr(refresh.gosource, "read_files", None)
+        assert session.env()["stale_packages"] == []
+    (tree / "beta/b.go").write_text(BETA + "func more() {}\n")
+    (tree / "gamma").mkdir()
+    (tree / "gamma/c.go").write_text("package gamma\nfunc C() {}\n")
+    assert session.env()["stale_packages"] == ["ex.com/m/beta", "ex.com/m/gamma"] and session.env()["git"]["dirty_count"] == 1
+    git("add", ".")
+    git("commit", "-qm", "two")
+    assert session.env()["stale_packages"] == ["ex.com/m/beta", "ex.com/m/gamma"]
+    assert refresh.refresh(session.catalog, root) > 0 and session.env()["stale_packages"] == []
+    (tree / "gamma/c.go").unlink()
+    assert session.env()["stale_packages"] == ["ex.com/m/gamma"]
+    assert gitstate.changed_files(root, "0" * 40) is None and gitstate.changed_files("hdfs://x/y", "a") is None
+
+
+def test_no_packages(spark, tmp_path):
+    with pytest.raises(CommandError) as e:
+        Session(Catalog(spark, f"file://{tmp_path}/ix"), f"file:{tmp_path}").make()
+    assert e.value.code == "no_packages"
