@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -23,6 +25,54 @@ def test_flight_keeps_each_probability():
     assert np.abs(drawn - p).max() < 0.025
 
 
+def exact_design(p, t):
+    """Outcomes of the walk with their chances, in fractions: three undecided units at a time, in order."""
+    out = {}
+
+    def walk(state, todo, held, chance):
+        held, todo = list(held), list(todo)
+        while len(held) < 3 and todo:
+            held.append(todo.pop(0))
+        if len(held) == 3:
+            a, b, c = (t[k] for k in held)
+            u = (c - b, a - c, b - a)
+            u = u if any(u) else (Fraction(1), Fraction(-1), Fraction(0))
+        elif len(held) == 2 and t[held[0]] == t[held[1]]:
+            u = (Fraction(1), Fraction(-1))
+        else:
+            key = tuple(state)
+            out[key] = out.get(key, 0) + chance
+            return
+        moving = [(k, v) for k, v in zip(held, u) if v]
+        up = min((1 - state[k]) / v if v > 0 else state[k] / -v for k, v in moving)
+        down = min(state[k] / v if v > 0 else (1 - state[k]) / -v for k, v in moving)
+        for step, part in ((up, down), (-down, up)):
+            after = list(state)
+            for k, v in moving:
+                after[k] += step * v
+            walk(after, todo, [k for k in held if 0 < after[k] < 1], chance * part / (up + down))
+
+    walk(list(p), range(len(p)), [], Fraction(1))
+    return out
+
+
+@pytest.mark.parametrize("p,t", [("1/2 1/4 3/4 1/2 1/3", "3 8 1 4 9"), ("1/2 1/2 1/2 1/2", "2 2 2 2"), ("1/5 2/5 3/5 4/5 1/2 1/2", "1 1 2 2 5 5")])
+def test_flight_equals_the_exact_design(p, t):
+    p, t = [Fraction(x) for x in p.split()], [Fraction(x) for x in t.split()]
+    want = exact_design(p, t)
+    assert sum(want.values()) == 1
+    for k in range(len(p)):
+        # Each unit keeps its probability, and each outcome both totals, exactly.
+        assert sum(c * x[k] for x, c in want.items()) == p[k]
+    assert all(sum(x) == sum(p) and sum(a * b for a, b in zip(x, t)) == sum(a * b for a, b in zip(p, t)) for x in want)
+    n, seen = 20_000, {}
+    for seed in range(n):
+        got = M.flight(np.array([float(x) for x in p]), np.array([float(x) for x in t]), np.random.default_rng(seed))
+        (key,) = [x for x in want if np.allclose([float(v) for v in x], got, atol=1e-6)]
+        seen[key] = seen.get(key, 0) + 1
+    assert all(abs(seen.get(x, 0) / n - float(c)) < 0.015 for x, c in want.items())
+
+
 def test_probabilities():
     pi = M.probabilities({"a": 1000, "b": 100, "c": 0, None: 100}, {"a": 1, "b": 1, None: 0}, share=0.5)
     assert pi["b"] == 1.0 and pi["a"] == pytest.approx(0.5) and pi["c"] == 0.5 and pi[None] == 0.0
