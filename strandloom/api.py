@@ -6,7 +6,7 @@ import json
 import os
 import platform
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from strandloom.functions import names
 from strandloom.operators import graph, inventory, lookup, satisfy
 from strandloom.sources import gitstate
 from strandloom.sources.catalog import Catalog
+from strandloom.sources.sqlite import import_sqlite
 from strandloom.streaming import refresh
 
 NOTE_DEAD = "Static analysis: calls by reflection, linkname or generated code aren't seen; interface methods are listed too."
@@ -46,10 +47,11 @@ class Session:
     root: str = ""
     auto_reindex: bool = False
     git: bool = False
-    _shape: dict[str, Any] = field(default_factory=dict)
+    #: Whether the index may yet be missing.
+    new: bool = False
 
     def __post_init__(self):
-        if not self.catalog.exists("symbols") and not self.root:
+        if not self.catalog.exists("symbols") and not self.root and not self.new:
             raise CommandError("no_database", f"no index at {self.catalog.path}")
 
     @property
@@ -102,6 +104,14 @@ class Session:
         ix = self.index
         return self._answer(indexed=True, symbols=symbols, warnings=warnings, calls=ix.calls.count(), unresolved=ix.unresolved_calls.count(), type_refs=ix.type_refs.count())
 
+    def import_index(self, sqlite: str) -> dict:
+        """Takes over an index that lies in a SQLite file."""
+        path = _required(sqlite, "sqlite")
+        if not os.path.exists(path):
+            raise CommandError("no_database", f"no file {path}")
+        import_sqlite(self.catalog, path)
+        return self._answer(imported=True, symbols=self.index.symbols.count(), modules=self.catalog.module_roots())
+
     def find(self, q: str = "", pkg: str = "", kind: str = "", file: str = "", limit: int = 100, count: bool = False) -> dict:
         options = {"query": q, "pkg": pkg, "kind": kind, "file": file}
         self._known(kind, schema.KINDS, "kind")

@@ -21,7 +21,7 @@ from strandloom.sources.catalog import Catalog
 
 COMMANDS = {
     "index": "make", "find": "find", "def": "definition", "callers": "callers", "callees": "callees", "blast-radius": "blast_radius", "dead": "dead", "implementors": "implementors",
-    "references": "references", "packages": "packages", "health": "health", "version": "version",
+    "references": "references", "packages": "packages", "health": "health", "version": "version", "import": "import_index",
 }
 FOLDER = ".strandloom"
 
@@ -72,6 +72,7 @@ HELP = {
     "packages": ("Packages with their numbers of symbols.", "", ["find"]),
     "health": ("Row counts, warnings and the share of calls that aren't resolved.", "", ["index"]),
     "version": ("Version of the package and of the layout.", "", []),
+    "import": ("Take over an index that lies in a SQLite file.", "--sqlite index.sqlite", ["health"]),
 }
 ERRORS = ("missing_required_flag", "invalid_flag_value", "no_database", "no_packages", "unknown_command_or_flag")
 
@@ -174,7 +175,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if not path:
                 raise CommandError("no_database", "no index here or above; give --db")
             catalog = Catalog(spark or SparkSession.builder.appName("strandloom").getOrCreate(), path if "://" in path else "file://" + os.path.abspath(path))
-            session = Session(catalog, root and (root if "://" in root else "file:" + os.path.abspath(root)), auto, git)
+            session = Session(catalog, root and (root if "://" in root else "file:" + os.path.abspath(root)), auto, git, command == "import")
             answer = getattr(session, COMMANDS[command])(**options)
             print(as_text(command, answer) if text else json.dumps(answer, ensure_ascii=False, default=str))
             code = 0

@@ -1,12 +1,14 @@
 import json
+import sqlite3
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom import cli
 from strandloom.api import CommandError, Session
 from strandloom.operators import graph, inventory
-from strandloom.sources import gitstate, gosource
+from strandloom.sources import gitstate, gosource, sqlite
 from strandloom.sources.catalog import Catalog
 from strandloom.streaming import refresh
 
@@ -135,3 +137,25 @@ def test_no_packages(spark, tmp_path):
     with pytest.raises(CommandError) as e:
         Session(Catalog(spark, f"file://{tmp_path}/ix"), f"file:{tmp_path}").make()
     assert e.value.code == "no_packages"
+
+
+def test_an_index_in_sqlite_is_taken_over(spark, tmp_path, capsys, monkeypatch):
+    file = tmp_path / "old.sqlite"
+    with sqlite3.connect(file) as db:
+        db.execute("CREATE TABLE symbols (id INTEGER PRIMARY KEY, module_root TEXT, package_path TEXT, package_name TEXT, file_path TEXT, name TEXT, kind TEXT, recv TEXT, signature TEXT, fqname TEXT, exported INTEGER, line INTEGER, col INTEGER)")
+        db.executemany("INSERT INTO symbols VALUES (?, ?, 'p', 'p', 'a.go', ?, 'func', '', 'func()', ?, ?, ?, 1)", [(k, f"/m{k % 2}", f"f{k}", f"p.f{k}", k % 2, k) for k in range(5, 105)])
+        db.execute("CREATE TABLE calls (id INTEGER PRIMARY KEY, module_root TEXT, package_path TEXT, file_path TEXT, line INTEGER, col INTEGER, from_fqname TEXT, to_fqname TEXT, callee_expr TEXT)")
+        db.execute("INSERT INTO calls VALUES (1, '/m1', 'p', 'a.go', 3, 2, 'p.f5', 'p.f6', 'f6')")
+        db.execute("CREATE TABLE index_meta (id INTEGER PRIMARY KEY, tool_version TEXT, go_version TEXT, indexed_at TEXT, root TEXT, warnings INTEGER)")
+        db.execute("INSERT INTO index_meta VALUES (1, '0.9', '1.22', '2024-05-06T07:08:09Z', '/r', 2)")
+    monkeypatch.setattr(sqlite, "RANGE", 30)
+    index = f"file://{tmp_path}/ix"
+    assert cli.main(["import", "--db", index, "--sqlite", str(file)], spark) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["symbols"] == 100 and got["modules"] == ["/m0", "/m1"]
+    ix = Catalog(spark, index).index()
+    assert sorted(r.id for r in ix.symbols.where("exported").collect()) == [k for k in range(5, 105) if k % 2]
+    assert ix.calls.first().kind == "call" and ix.type_refs.count() == 0
+    row = ix.index_meta.select("warnings", "indexed_commit", F.date_format("indexed_at", "yyyy-MM-dd HH:mm:ss").alias("at")).first()
+    assert tuple(row) == (2, "", "2024-05-06 07:08:09")
+    assert [r.from_fqname for r in graph.direct_callers(ix, "p.f6").collect()] == ["p.f5"]
