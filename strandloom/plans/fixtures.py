@@ -153,17 +153,21 @@ _NEEDS = {
 }
 
 
-def with_views(body: str, *names: str, recursive: str = "") -> str:
-    """A query over the named views, each defined once before it is used."""
+#: Views that an index holds as tables, in an order in which they can be made.
+STORED = ("symbols", "calls", "type_refs", "unresolved_calls", "iface_methods", "type_methods", "implements", "impl_methods", "package_files")
+
+
+def with_views(body: str, *names: str, recursive: str = "", stored: tuple[str, ...] = ()) -> str:
+    """A query over the named views, each defined once before it is used, but for those that are stored."""
     order: list[str] = []
 
     def add(name: str) -> None:
         for x in _NEEDS[name]:
             add(x)
-        if name not in order:
+        if name not in order and name not in stored:
             order.append(name)
 
     for name in names:
         add(name)
     parts = [f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in order] + ([recursive] if recursive else [])
-    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {body}" if parts else body
