@@ -131,6 +131,15 @@ class Ring:
         bucket = np.concatenate(found, axis=1)
         return bucket.reshape(-1), np.repeat(np.arange(len(values)), bucket.shape[1])
 
+    def lead(self, values: np.ndarray, s: int) -> tuple[np.ndarray, int]:
+        """As many segments from s on as fit in 64 bits, in one word for each row, and the budget of their chain."""
+        word, bits, k = np.zeros(len(values), np.uint64), 0, 0
+        while k < self.m and bits + self.widths[(s + k) % self.m] <= 64:
+            width = self.widths[(s + k) % self.m]
+            word = (word << np.uint64(width)) | values[:, (s + k) % self.m].astype(np.uint64)
+            bits, k = bits + width, k + 1
+        return word, self.budgets[k - 1]
+
     def near(self, x: np.ndarray, y: np.ndarray, start: int) -> np.ndarray:
         """Rows whose chain from ``start`` keeps all its budgets, so that at most tau bits differ."""
         alive, total = np.arange(len(x)), np.zeros(len(x), np.int64)
@@ -206,6 +215,7 @@ def _pairs_of_bucket(ring: Ring, bits: int, bucket: int, halves: np.ndarray, chu
     """Pairs of the bucket's rows that span the near pairs which meet here. ``halves`` has the rows of PRINT."""
     s, prefix = bucket >> 40, bucket & ((1 << 40) - 1)
     values, shingles = ring.values(halves[0], halves[1]), halves[2:].T.copy().view(np.uint64)
+    lead, budget = ring.lead(values, s)
     forest, found = _Forest(len(values)), []
     for row, keys in _keyed(values[:, s], ring.widths[s], bits, prefix, chunk):
         order = np.argsort(keys, kind="stable")
@@ -217,17 +227,21 @@ def _pairs_of_bucket(ring: Ring, bits: int, bucket: int, halves: np.ndarray, chu
         node, keys = row[order[shared]], keys[shared]
         last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)[: len(keys)])
         end = last[np.searchsorted(last, np.arange(len(keys)))]
+        # Rows of a key lie side by side: most pairs fail on one word of the chain's first segments.
+        word = lead[node]
         at = np.flatnonzero(end > np.arange(len(keys)))
         gap = 1
         while len(at):
-            x, y = node[at], node[at + gap]
-            apart = forest.up[x] != forest.up[y]
-            x, y = x[apart], y[apart]
-            kept = ring.near(values[x], values[y], s)
-            kept = kept[np.bitwise_count(shingles[x[kept]] ^ shingles[y[kept]]).sum(1) <= CONTEXT]
-            if len(kept):
-                found += forest.join(x[kept], y[kept])
-                forest.flatten()
+            close = at[np.bitwise_count(word[at] ^ word[at + gap]) <= budget]
+            if len(close):
+                x, y = node[close], node[close + gap]
+                apart = forest.up[x] != forest.up[y]
+                x, y = x[apart], y[apart]
+                kept = ring.near(values[x], values[y], s)
+                kept = kept[np.bitwise_count(shingles[x[kept]] ^ shingles[y[kept]]).sum(1) <= CONTEXT]
+                if len(kept):
+                    found += forest.join(x[kept], y[kept])
+                    forest.flatten()
             gap += 1
             at = at[at + gap <= end[at]]
     return np.array(found, np.int64).reshape(-1, 2)
