@@ -45,7 +45,6 @@ def remove(path: str) -> None:
         there.getFileSystem(conf).delete(there, True)
 
 
-@atexit.register
 def _remove_all() -> None:
     with contextlib.suppress(Py4JError, OSError):
         for root in _ROOTS:
@@ -62,6 +61,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex[:12]}"
+        if not _ROOTS:
+            # After the session's own handlers, so that it runs before them.
+            atexit.register(_remove_all)
         _ROOTS.append(self.root)
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
