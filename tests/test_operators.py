@@ -139,6 +139,18 @@ def test_division(spark):
     assert sorted(map(tuple, satisfy.divide(need, have, "o", "t", "m").collect())) == [("I", "T"), ("J", "U")]
 
 
+@pytest.mark.parametrize("least", [1, 3])
+def test_division_moves_no_pairs(spark, least):
+    rng = random.Random(least)
+    need = {(f"I{rng.randrange(200)}", f"m{min(rng.randrange(90), rng.randrange(90))}") for _ in range(500)} | {("null", None), ("null", "m0"), (None, "m0")}
+    have = {(f"T{rng.randrange(12)}", f"m{rng.randrange(90)}") for _ in range(700)} | {("none", "x")}
+    sets = lambda rows: {k: {m for x, m in rows if x == k} for k, _ in rows if k}
+    want = [(o, t) for o, n in sets(need).items() for t, h in sets(have).items() if len(n) >= least and n <= h]
+    pairs = satisfy.divide(spark.createDataFrame([*need, *list(need)[:50]], "o string, m string"), spark.createDataFrame([*have], "t string, m string"), "o", "t", "m", least)
+    assert len(want) > 20 and sorted(map(tuple, pairs.collect())) == sorted(want)
+    assert not re.search(r"hashpartitioning\(o#\d+, t#", pairs._jdf.queryExecution().executedPlan().toString())
+
+
 def test_staleness(spark):
     ddl = "module_root string, package_path string, file_path string, file_hash string"
     old = spark.createDataFrame([("m", "same", "a.go", "1"), ("m", "changed", "a.go", "1"), ("m", "gone", "a.go", "1"), ("m", "blank", "a.go", ""), ("m", "tests", "a.go", "1")], ddl)
