@@ -151,6 +151,17 @@ def test_division_moves_no_pairs(spark, least):
     assert not re.search(r"hashpartitioning\(o#\d+, t#", pairs._jdf.queryExecution().executedPlan().toString())
 
 
+def test_pairs_are_not_broadcast(spark):
+    pairs = spark.createDataFrame([("I", "T"), ("J", "T")], "iface_fqname string, impl_fqname string")
+    required = spark.createDataFrame([("I", "M"), ("J", "M"), ("J", "N")], "iface_fqname string, method_name string")
+    methods = spark.createDataFrame([("T", "M", "T.M"), ("T", "N", "*T.N"), ("T", "O", "T.O")], "impl_fqname string, method_name string, method_fqname string")
+    found = satisfy.satisfying_methods(pairs, required, methods)
+    assert sorted(r[0] for r in found.collect()) == ["*T.N", "T.M"]
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    # Distinct lie between the two joins; the lower one, on interfaces, sorts.
+    assert any("SortMergeJoin [iface_fqname" in line for line in lines) and any("HashAggregate(keys=[impl_fqname" in line for line in lines)
+
+
 def test_staleness(spark):
     ddl = "module_root string, package_path string, file_path string, file_hash string"
     old = spark.createDataFrame([("m", "same", "a.go", "1"), ("m", "changed", "a.go", "1"), ("m", "gone", "a.go", "1"), ("m", "blank", "a.go", ""), ("m", "tests", "a.go", "1")], ddl)
