@@ -133,6 +133,14 @@ def test_hint_is_open_where_methods_are_unknown(spark):
     assert [r[0] for r in lookup.dispatching_interfaces(ix, "p.*T.Do").collect()] == ["p.Known", "p.Unknown"]
 
 
+def test_hint_broadcasts_no_interfaces(spark):
+    ix = index(spark, implements=([("p.I", "p.T"), ("p.J", "p.T")], "iface_fqname string, impl_fqname string"), iface_methods=([("p.I", "Do"), ("p.J", "Other")], "iface_fqname string, method_name string"))
+    found = lookup.dispatching_interfaces(ix, "p.*T.Do")
+    assert [r[0] for r in found.collect()] == ["p.I"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_division(spark):
     need = spark.createDataFrame([("I", "a"), ("I", "b"), ("J", "c")], "o string, m string")
     have = spark.createDataFrame([("T", "a"), ("T", "b"), ("U", "a"), ("U", "c")], "t string, m string")
