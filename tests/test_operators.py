@@ -10,7 +10,9 @@ from strandloom.functions import hashing
 from strandloom.functions import names as N
 from strandloom.functions.hashing import fnv64, fnv64a, hex64
 from strandloom.operators import freshness, graph, inventory, lookup, satisfy
+from strandloom.plans import fixtures
 from strandloom.sources.catalog import Catalog, Index, conform, last_wins
+from strandloom.sources.scratch import Scratch
 
 
 def index(spark, **tables):
@@ -170,6 +172,13 @@ def test_pairs_are_not_broadcast(spark):
     assert any("SortMergeJoin [iface_fqname" in line for line in lines) and any("HashAggregate(keys=[impl_fqname" in line for line in lines)
 
 
+@pytest.mark.parametrize(("table", "keys"), [("unresolved_calls", ["user_id"]), ("type_refs", ["callee", "l_partkey"])])
+def test_symbols_are_not_broadcast(spark, table, keys):
+    made = fixtures.derive(spark, "/root/testdata/sf0.001", Scratch(spark, "plans"))[table]()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert all(f"SortMergeJoin [{key}#" in plan for key in keys) and "BroadcastHashJoin" not in plan
+
+
 def test_staleness(spark):
     ddl = "module_root string, package_path string, file_path string, file_hash string"
     old = spark.createDataFrame([("m", "same", "a.go", "1"), ("m", "changed", "a.go", "1"), ("m", "gone", "a.go", "1"), ("m", "blank", "a.go", ""), ("m", "tests", "a.go", "1")], ddl)
