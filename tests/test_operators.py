@@ -179,6 +179,12 @@ def test_symbols_are_not_broadcast(spark, table, keys):
     assert all(f"SortMergeJoin [{key}#" in plan for key in keys) and "BroadcastHashJoin" not in plan
 
 
+def test_calls_broadcast_no_symbols(spark):
+    made = fixtures.derive(spark, "/root/testdata/sf0.001", Scratch(spark, "plans"))["calls"]()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert all(f"SortMergeJoin [{key}#" in plan for key in ("callee", "l_partkey"))
+
+
 def test_staleness(spark):
     ddl = "module_root string, package_path string, file_path string, file_hash string"
     old = spark.createDataFrame([("m", "same", "a.go", "1"), ("m", "changed", "a.go", "1"), ("m", "gone", "a.go", "1"), ("m", "blank", "a.go", ""), ("m", "tests", "a.go", "1")], ddl)
