@@ -135,8 +135,12 @@ def test_hint_is_open_where_methods_are_unknown(spark):
     assert [r[0] for r in lookup.dispatching_interfaces(ix, "p.*T.Do").collect()] == ["p.Known", "p.Unknown"]
 
 
-def test_hint_broadcasts_no_interfaces(spark):
+def test_hint_broadcasts_no_interfaces(spark, tmp_path):
     ix = index(spark, implements=([("p.I", "p.T"), ("p.J", "p.T")], "iface_fqname string, impl_fqname string"), iface_methods=([("p.I", "Do"), ("p.J", "Other")], "iface_fqname string, method_name string"))
+    # Spark knows the size of files only.
+    for name in ("implements", "iface_methods"):
+        getattr(ix, name).write.parquet(f"{tmp_path}/{name}")
+        setattr(ix, name, spark.read.parquet(f"{tmp_path}/{name}"))
     found = lookup.dispatching_interfaces(ix, "p.*T.Do")
     assert [r[0] for r in found.collect()] == ["p.I"]
     plan = found._jdf.queryExecution().executedPlan().toString()
