@@ -189,6 +189,14 @@ def test_calls_broadcast_no_symbols(spark):
     assert all(f"SortMergeJoin [{key}#" in plan for key in ("callee", "l_partkey"))
 
 
+def test_calls_broadcast_no_lines(spark):
+    # Small files of lines are no sign of few lines either: neither of a call's two is broadcast.
+    made = fixtures.derive(spark, "/root/testdata/sf0.001", Scratch(spark, "plans"))["calls"]()
+    assert made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [l_orderkey#" in plan and "Broadcast" not in plan
+
+
 def test_staleness(spark):
     ddl = "module_root string, package_path string, file_path string, file_hash string"
     old = spark.createDataFrame([("m", "same", "a.go", "1"), ("m", "changed", "a.go", "1"), ("m", "gone", "a.go", "1"), ("m", "blank", "a.go", ""), ("m", "tests", "a.go", "1")], ddl)
